@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .line_dedup import op7_line_dedup
 from .quality_rules import op10_quality_rules
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
