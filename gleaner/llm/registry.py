@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .license_scan import op3_license_scan
 from .line_dedup import op7_line_dedup
 from .packing import op5_packing
 from .quality_rules import op10_quality_rules
@@ -10,6 +11,7 @@ from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_license_scan": op3_license_scan,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
