@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op8_html_text
 from .language_id import op6_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import op7_line_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_text": op8_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
