@@ -9,6 +9,7 @@ from .line_dedup import op7_line_dedup
 from .packing import op5_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op2_simhash
+from .url_filter import op9_url_filter
 
 QUERIES = {
     "op2_simhash": op2_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_text": op8_html_text,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
