@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op1_embedding_dedup
 from .html_text import op8_html_text
 from .language_id import op6_language_id
 from .license_scan import op3_license_scan
@@ -12,6 +13,7 @@ from .simhash import op2_simhash
 from .url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_license_scan": op3_license_scan,
     "op5_packing": op5_packing,
