@@ -13,7 +13,6 @@ shards on the next level.
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from gleaner.operators.storage import materialize
 
 from .common import table
+from .word_codes import WordCodes, slices
 
 CAPACITY = 4096
 END = 1
@@ -38,8 +38,6 @@ POPULATION = 4
 #: A bin at least so full is final; emptier ones go to the next level.
 FULL = 0.99
 LEVELS = 4
-TEXT_BYTES = 8 << 20
-CACHE_WORDS = 400_000
 
 
 def tokenizer_path() -> str:
@@ -48,66 +46,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Token ids of texts, each distinct word encoded once.
+def word_codes(path: str) -> WordCodes:
+    """Encoder of words, by the tokenizer in ``path``.
 
     The tokenizer normalises by character and drops white space before it looks
     for tokens, so the ids of a text are those of its ASCII-space-separated parts in turn.
     """
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        if len(self.number) + len(new) > CACHE_WORDS:
-            self._clear()
-            new = words
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        first = len(self.number)
-        self.number.update(zip(new, range(first, first + len(new)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        flat = np.fromiter((i for part in ids for i in part), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, flat])
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's ids start (one more than there are texts)."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        owner = np.asarray(pc.list_parent_indices(parts))
-        coded = pc.dictionary_encode(pc.list_flatten(parts))
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
-        number = np.fromiter((self.number[w] for w in words), np.int64, len(words))[np.asarray(coded.indices)]
-        lengths = self.starts[number + 1] - self.starts[number]
-        before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(self.starts[number] - before, lengths) + np.arange(int(lengths.sum()))]
-        per_text = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_text)])
-
-
-def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield start, i - start
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield start, len(sizes) - start
-
-
-_encoders: dict[str, WordEncoder] = {}
+    tokenizer = Tokenizer.from_file(path)
+    return WordCodes(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+
+_encoders: dict[str, WordCodes] = {}
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -117,12 +68,13 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+            _encoders[path] = word_codes(path)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-            for at, n in _slices(sizes, TEXT_BYTES):
+            for at, n in slices(batch.column("text")):
                 part = batch.slice(at, n)
-                ids, starts = _encoders[path].encode(part.column("text"))
+                words = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
+                owner = np.asarray(pc.list_parent_indices(words))
+                ids, starts = _encoders[path].expand(owner, pc.list_flatten(words), n)
                 row, piece, start, length, pieces = [], [], [], [], []
                 for i in range(n):
                     own = np.append(ids[starts[i] : starts[i + 1]], np.uint32(END))

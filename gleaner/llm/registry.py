@@ -9,6 +9,7 @@ from .license_scan import op3_license_scan
 from .line_dedup import op7_line_dedup
 from .packing import op5_packing
 from .quality_rules import op10_quality_rules
+from .sentencepiece_viterbi import op4_sentencepiece
 from .simhash import op2_simhash
 from .url_filter import op9_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
