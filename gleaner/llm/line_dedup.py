@@ -127,6 +127,17 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     return found.withColumn("lines", _without(text, F.col("_dropped"))).drop("_id", "_version", "_dropped")
 
 
+def drop_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """The documents without their repeated lines; ``text`` and, if there is one, ``n_chars`` are those of what stays."""
+    carried = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    found = dedup_lines(carried, batches, fanout)
+    text = F.when(F.col("lines.n_dropped") > 0, F.col("lines.kept_text")).otherwise(F.col("row")["text"])
+    kept = found.withColumn("text", text)
+    types = dict(docs.dtypes)
+    changed = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast(types.get("n_chars", "long"))}
+    return kept.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from .embedding_dedup import op1_embedding_dedup
 from .html_text import op8_html_text
 from .language_id import op6_language_id
@@ -24,6 +26,10 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": run,
 }
 
 ORACLES: dict[str, str] = {}
+
+if ORACLE_SQL:
+    ORACLES["pipeline"] = ORACLE_SQL
