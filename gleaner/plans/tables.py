@@ -80,5 +80,5 @@ links AS (
 routed AS (
   SELECT *, lower(regexp_extract(url, '://[^/]*([^?]*)', 1)) AS path, regexp_extract(url, '\?(.*)$', 1) AS query, lower(trim(label)) AS said FROM links),
 segmented AS (
-  SELECT *, list_filter(string_split(path, '/'), x -> x <> '') AS segs FROM routed)
+  SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM routed)
 """
