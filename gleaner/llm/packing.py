@@ -12,7 +12,10 @@ shards on the next level.
 
 from __future__ import annotations
 
+import os
 import random
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,6 +49,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of Latin letters only, without those whose lower case is more than one character.
+LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
+#: How byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Characters that the tokenizer parts from letters before them.
+MARKS = ".,;:!?#*$%&|<>()[]{}\"/=+@^~`"
+
+
+def split_marks(word: str) -> tuple[str, ...]:
+    """Letters and the marks after them, which the tokenizer never joins; ASCII letters in lower case, as it reads them."""
+    if word.isascii() and "<|" not in word:  # a special token has its own spelling
+        word = word.lower()
+    core = word.rstrip(MARKS)
+    return (core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and "İ" not in core else (word,)
+
+
 def word_codes(path: str) -> WordCodes:
     """Encoder of words, by the tokenizer in ``path``.
 
@@ -54,8 +74,26 @@ def word_codes(path: str) -> WordCodes:
     """
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
     tokenizer = Tokenizer.from_file(path)
-    return WordCodes(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+    model = tokenizer.model
+
+    def encode_parts(parts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(parts)
+        rest = []
+        for i, part in enumerate(parts):
+            if LATIN.fullmatch(part) and unicodedata.is_normalized("NFC", part):
+                # one pre-token: the model alone gives its ids
+                spelled = part.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+                out[i] = [t.id for t in model.tokenize(spelled)]
+            else:
+                rest.append(i)
+        encoded = tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, encoded, strict=True):
+            out[i] = e.ids
+        return out
+
+    return WordCodes(encode_parts, split_marks)
 
 
 _encoders: dict[str, WordCodes] = {}

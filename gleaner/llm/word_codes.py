@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000
+CACHE_PARTS = 300_000
 
 
 class WordCodes:
-    """A bounded store of words' ids, kept as one array with the place where each word starts."""
+    """Ids of words, put together from those of their parts, of which a bounded number is kept between batches.
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
-        self.encode_words, self.most = encode_words, most
-        self._clear()
+    ``split`` gives the parts of a word (by default the word itself), ``encode_parts`` the ids of new parts.
+    """
 
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+    def __init__(
+        self,
+        encode_parts: Callable[[list[str]], list[list[int]]],
+        split: Callable[[str], tuple[str, ...]] = lambda word: (word,),
+        most: int = CACHE_PARTS,
+    ) -> None:
+        self.encode_parts, self.split, self.most = encode_parts, split, most
+        self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        if len(self.number) + len(new) > self.most:
-            self._clear()
-            new = words
-        ids = self.encode_words(new)
-        first = len(self.number)
-        self.number.update(zip(new, range(first, first + len(new)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        flat = np.fromiter((i for part in ids for i in part), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, flat])
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and where each word's ids start."""
+        parts = [self.split(w) for w in words]
+        known = self.known
+        new = list(set(chain.from_iterable(parts)).difference(known))
+        ids = self.encode_parts(new) if new else []
+        fresh = {p: array("I", i).tobytes() for p, i in zip(new, ids, strict=True)}
+        if len(known) + len(fresh) > self.most:  # only what this batch needs stays
+            known = {p: known[p] for p in set(chain.from_iterable(parts)).difference(fresh)}
+            self.known = known
+        known.update(fresh)
+        cut = [known[w[0]] if len(w) == 1 else b"".join([known[p] for p in w]) for w in parts]
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut)) // 4
+        return np.frombuffer(b"".join(cut), np.uint32), np.concatenate([[0], np.cumsum(lengths)])
 
     def expand(self, owner: np.ndarray, words: pa.Array, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each text's ids start (one more than there are texts).
@@ -44,17 +49,16 @@ class WordCodes:
         ``owner`` is the text number of each word, ascending.
         """
         coded = pc.dictionary_encode(words)
-        distinct = coded.dictionary.to_pylist()
-        self._learn(distinct)
-        number = np.fromiter((self.number[w] for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
-        lengths = self.starts[number + 1] - self.starts[number]
+        flat, starts = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        number = np.asarray(coded.indices)
+        lengths = starts[number + 1] - starts[number]
         before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(self.starts[number] - before, lengths) + np.arange(int(lengths.sum()))]
+        ids = flat[np.repeat(starts[number] - before, lengths) + np.arange(int(lengths.sum()))]
         per_text = np.bincount(owner, weights=lengths, minlength=texts).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
-def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, int]]:
     """Start and number of texts of parts that hold about ``most_bytes``, or one text."""
     start, held = 0, 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
