@@ -148,10 +148,10 @@ def collapse_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of each incoming record: too old, a duplicate in the run, known already, or new.
 
-    Records below 400 are stored; a stored record of the same URL makes one known.
+    English records are stored, the others come in; a stored record of the same URL makes one known.
     """
     facts = document_facts(spark, sf_dir)
-    stored, fresh = facts.where("ord < 400"), facts.where("ord >= 400")
+    stored, fresh = facts.where("language = 'en'"), facts.where("language <> 'en'")
     fresh = fresh.withColumn("in_time", within_days(F.col("posted"), F.lit(NOW).cast("timestamp"), 40))
     timely = fresh.where("in_time")
     linked = dedupe.collapse_by_key(timely, [F.col("source_url"), F.sha2("description", 256)])
@@ -170,7 +170,7 @@ def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTCOMES_SQL = (
     "WITH RECURSIVE "
     + FACTS_SQL
-    + """, fresh AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-20 12:00:00') - epoch_us(CAST(posted AS TIMESTAMP))) / 8.64e10 <= 40 AS in_time FROM facts WHERE ord >= 400),
+    + """, fresh AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-20 12:00:00') - epoch_us(CAST(posted AS TIMESTAMP))) / 8.64e10 <= 40 AS in_time FROM facts WHERE language <> 'en'),
     timely AS (SELECT * FROM fresh WHERE in_time),
     firsts AS (
       SELECT ord, min(ord) OVER (PARTITION BY source_url) AS f FROM timely
@@ -179,7 +179,7 @@ _OUTCOMES_SQL = (
     reach(node, top) AS (SELECT ord, ord FROM timely UNION SELECT e.b, r.top FROM reach r JOIN edges e ON e.a = r.node WHERE r.top < e.b),
     comps AS (SELECT node, min(top) AS component FROM reach GROUP BY node),
     outcomes AS (SELECT f.ord AS doc_id, CASE WHEN NOT in_time THEN 'date_rejected' WHEN component <> f.ord THEN 'duplicate_in_run'
-      WHEN f.source_url IN (SELECT source_url FROM facts WHERE ord < 400) THEN 'already_known' ELSE 'new' END AS outcome
+      WHEN f.source_url IN (SELECT source_url FROM facts WHERE language = 'en') THEN 'already_known' ELSE 'new' END AS outcome
       FROM fresh f LEFT JOIN comps ON node = f.ord)
 """
 )

@@ -26,10 +26,10 @@ def add_missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observe_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are records of their customer's project, customers below 100 have a run; finished orders were observed before."""
+    """Orders are records of their customer's project, each with a run; finished orders were observed before."""
     o = table(spark, sf_dir, "orders")
     records = o.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("snapshot"))
-    runs = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("project_id"), (F.col("c_custkey") + 1000000).alias("run_id"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_custkey") + 1000000).alias("run_id"))
     observed = o.where("o_orderstatus = 'F'").select((F.col("o_custkey") + 1000000).alias("run_id"), F.col("o_orderkey").alias("record_id"))
     return store.observe(records, runs, observed)
 
@@ -67,18 +67,18 @@ def package_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_delete_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that are not deleted (every 13th is), with customer, newest first, the first 500."""
+    """Orders that are not deleted (every 13th is), with customer."""
     o = table(spark, sf_dir, "orders").withColumn("deleted_at", F.when(F.col("o_orderkey") % 13 == 0, F.col("o_orderdate")))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     kept = store.active(o).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return kept.orderBy(F.col("o_orderdate").desc_nulls_first(), "o_orderkey").limit(500).select("o_orderkey", "c_name", "o_orderdate")
+    return kept.select("o_orderkey", "c_name", "o_orderdate")
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records of two systems: orders, and lines that state an order's number; a bad number links nothing."""
     o = table(spark, sf_dir, "orders")
-    ted = o.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 10).alias("ord"), F.col("o_orderkey").cast("string").alias("number"), F.lit("ted").alias("system"), F.col("o_orderpriority").alias("title"))
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber")
+    ted = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 10).alias("ord"), F.col("o_orderkey").cast("string").alias("number"), F.lit("ted").alias("system"), F.col("o_orderpriority").alias("title"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
     l = l.agg(F.min("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"), F.min("l_returnflag").alias("l_returnflag"))
     dutch = l.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
@@ -108,10 +108,10 @@ def combine_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKED_SQL = """
-WITH ted AS (SELECT o_orderkey * 10 AS ord, CAST(o_orderkey AS VARCHAR) AS number, 'ted' AS system, o_orderpriority AS title FROM orders WHERE o_orderkey % 3 = 0),
+WITH ted AS (SELECT o_orderkey * 10 AS ord, CAST(o_orderkey AS VARCHAR) AS number, 'ted' AS system, o_orderpriority AS title FROM orders WHERE o_orderstatus = 'F'),
  dutch AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_orderkey AS VARCHAR) ELSE 'n/a' END AS number, 'tenderned' AS system,
    CASE WHEN l_quantity > 25 THEN l_returnflag END AS title
-   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)),
+   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
  j AS (SELECT d.ord, d.title, d.system, coalesce(t.ord, d.ord) AS root FROM dutch d LEFT JOIN ted t ON d.number = t.number
    UNION ALL SELECT ord, title, system, ord FROM ted)
 """
@@ -260,7 +260,7 @@ _STOP = "('en', 'of', 'de', 'het', 'een', 'in', 'op', 'voor', 'van', 'the', 'and
 ORACLES = {
     "add_missing_sources": """WITH l AS (SELECT l_partkey, CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey END AS source, l_linenumber FROM lineitem)
       SELECT DISTINCT l_partkey, source FROM l a WHERE l_linenumber > 3 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.l_linenumber <= 3 AND b.l_partkey = a.l_partkey AND b.source IS NOT DISTINCT FROM a.source)""",
-    "observe_in_run": """SELECT o_custkey + 1000000 AS run_id, o_orderkey AS record_id, o_orderstatus AS snapshot FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey < 100 AND o_orderstatus <> 'F'""",
+    "observe_in_run": """SELECT o_custkey + 1000000 AS run_id, o_orderkey AS record_id, o_orderstatus AS snapshot FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'""",
     "run_snapshots": """SELECT o_orderkey, c_name, l_linestatus AS snapshot, o_orderstatus AS live FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
       WHERE c_mktsegment = 'BUILDING' AND l_linenumber = 1""",
     "module_access": """WITH m AS (SELECT DISTINCT c_mktsegment AS module FROM customer),
@@ -269,7 +269,7 @@ ORACLES = {
     "relational_division": """WITH i AS (SELECT DISTINCT l_suppkey, l_returnflag || CAST(l_linenumber AS VARCHAR) AS item FROM lineitem)
       SELECT l_suppkey FROM i GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT item) FROM i)""",
     "package_modules": "SELECT p_brand, coalesce(string_agg(DISTINCT p_type, ',' ORDER BY p_type) FILTER (p_size > 40), '') AS types, count(*) AS parts FROM part GROUP BY 1",
-    "soft_delete_listing": """SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 13 <> 0 ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 500""",
+    "soft_delete_listing": """SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 13 <> 0""",
     "combine_linked": _LINKED_SQL
     + """SELECT min(ord) AS root, coalesce(arg_min(title, ord) FILTER (title IS NOT NULL AND system = 'tenderned'), arg_min(title, ord) FILTER (title IS NOT NULL)) AS title,
       coalesce(arg_min(system, ord) FILTER (title IS NOT NULL AND system = 'tenderned'), arg_min(system, ord) FILTER (title IS NOT NULL)) AS title_system FROM j GROUP BY j.root""",

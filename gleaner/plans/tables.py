@@ -13,20 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents read as records: ord, title, company, location, salary, email, phone, posted, source_url, description."""
+    """Documents read as records (the first line is the title): ord, title, company, location, salary, email, phone, posted, source_url, description."""
     d = table(spark, sf_dir, "documents")
     ord_ = F.col("doc_id")
     return d.select(
         ord_.alias("ord"),
-        F.nullif(F.trim(F.substring(F.substring_index("text", "\n", 1), 1, 60)), F.lit("")).alias("title"),
+        F.nullif(F.trim(F.substring_index("text", "\n", 1)), F.lit("")).alias("title"),
         F.col("source").alias("company"),
         F.when(ord_ % 7 != 0, F.col("lang")).alias("location"),
         F.when(F.col("n_chars") % 3 == 0, F.col("n_chars").cast("string")).alias("salary"),
         first_match(F.col("text"), EMAIL).alias("email"),
         first_match(F.col("text"), PHONE).alias("phone"),
         F.date_add(F.lit("2024-01-01").cast("date"), (ord_ % 60).cast("int")).alias("posted"),
-        F.concat(F.lit("https://"), "source", F.lit(".example.com/vacature/"), (ord_ % 400).cast("string")).alias("source_url"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/vacature/"), F.floor(ord_ / 60).cast("string")).alias("source_url"),
         F.when(F.length("text") >= 40, F.col("text")).alias("description"),
+        F.col("lang").alias("language"),
     )
 
 
@@ -34,15 +35,15 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS_SQL = r"""
 facts AS (
   SELECT doc_id AS ord,
-    nullif(trim(substr(split_part(text, chr(10), 1), 1, 60)), '') AS title,
+    nullif(trim(split_part(text, chr(10), 1)), '') AS title,
     source AS company,
     CASE WHEN doc_id % 7 <> 0 THEN lang END AS location,
     CASE WHEN n_chars % 3 = 0 THEN CAST(n_chars AS VARCHAR) END AS salary,
     nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), '') AS email,
     nullif(regexp_extract(text, '\+?[0-9][0-9 ().-]{7,}[0-9]'), '') AS phone,
     DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS posted,
-    'https://' || source || '.example.com/vacature/' || CAST(doc_id % 400 AS VARCHAR) AS source_url,
-    CASE WHEN length(text) >= 40 THEN text END AS description
+    'https://' || source || '.example.com/vacature/' || CAST(doc_id // 60 AS VARCHAR) AS source_url,
+    CASE WHEN length(text) >= 40 THEN text END AS description, lang AS language
   FROM documents)
 """
 
