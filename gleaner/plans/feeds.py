@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.assess import assess_pages
 from gleaner.functions.page import page_facts
 from gleaner.operators.storage import new_path
 from gleaner.sources import feeds
@@ -46,11 +47,17 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def page_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page is one tender or one vacancy."""
+    return assess_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "sitemap_links": sitemap_links,
     "robots_verdicts": robots_verdicts,
     "change_stream": change_stream,
     "page_extract": page_extract,
+    "page_assessment": page_assessment,
 }
 
 ORACLES = {

@@ -87,6 +87,11 @@ def rank_tender_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(l.select("ord", ranking.rank_tender_link(F.col("url"), F.col("label")).alias("r")))
 
 
+def rank_company_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = links(spark, sf_dir)
+    return _ranked(l.select("ord", ranking.rank_company_link(F.col("url"), F.col("label")).alias("r")))
+
+
 _VACANCY_SQL = (
     "WITH "
     + LINKS_SQL
@@ -208,6 +213,7 @@ QUERIES = {
     "link_graph": link_graph,
     "rank_vacancy_links": rank_vacancy_links,
     "rank_tender_links": rank_tender_links,
+    "rank_company_links": rank_company_links,
     "job_identity_keys": job_identity_keys,
     "text_contacts": text_contacts,
     "merge_contacts_by_source": merge_contacts_by_source,
@@ -238,6 +244,12 @@ ORACLES = {
     "link_graph": """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1, 2""",
     "rank_vacancy_links": _VACANCY_SQL,
     "rank_tender_links": _TENDER_SQL,
+    "rank_company_links": "WITH "
+    + LINKS_SQL
+    + r""", k AS (SELECT ord, path, CASE WHEN path = '/' THEN 'home' WHEN regexp_matches(path, '(?:^|[/_-])contact(?:[/_.-]|$)') THEN 'contact' WHEN regexp_matches(path, '(?:^|[/_-])(?:over-ons|over)(?:[/_.-]|$)') THEN 'about' ELSE 'other' END AS kind,
+        regexp_matches(path, '(?:^|[/_-])(?:nieuws|vacatures?|careers|jobs|privacy|search)(?:[/_.-]|$)') AS news FROM segmented)
+      SELECT ord, CAST(CASE kind WHEN 'home' THEN 5 WHEN 'contact' THEN 55 WHEN 'about' THEN 60 ELSE 15 END - CASE WHEN news THEN 100 ELSE 0 END AS INTEGER) AS score,
+        concat_ws(',', kind, CASE WHEN news THEN 'not_company_information' END) AS reasons, 'general' AS classification FROM k""",
     "job_identity_keys": "WITH "
     + LINKS_SQL
     + r""", i AS (SELECT ord, regexp_replace(regexp_extract(url, '^(https://[^/]*)', 1), '://www\.', '://') AS origin, regexp_extract(path, '/jobid:([0-9]+)$', 1) AS j,
