@@ -9,6 +9,7 @@ from .html_text import op8_html_text
 from .language_id import op6_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import op7_line_dedup
+from .oracles import EMBEDDING_DEDUP, LINE_DEDUP
 from .packing import op5_packing
 from .quality_rules import op10_quality_rules
 from .sentencepiece_viterbi import op4_sentencepiece
@@ -29,7 +30,7 @@ QUERIES = {
     "pipeline": run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_DEDUP, "op7_line_dedup": LINE_DEDUP}
 
 if ORACLE_SQL:
     ORACLES["pipeline"] = ORACLE_SQL
