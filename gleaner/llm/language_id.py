@@ -23,6 +23,7 @@ from gleaner.operators.storage import materialize
 
 from .common import table
 from .pieces import PieceTable, by_length, code_points, prefix_hashes, read_pieces
+from .word_codes import slices
 
 DOCS_PER_LANGUAGE = 1000
 ROUNDS = 3
@@ -31,7 +32,7 @@ MARK = "▁"
 LONGEST_WORD = 48
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-7
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 
 def vocabulary_path() -> str:
@@ -64,6 +65,13 @@ def piece_table(path: str) -> tuple[PieceTable, int]:
     return _tables[path]
 
 
+def _parts_of(batches: Iterator[pa.RecordBatch], at: int | str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts hold a bounded number of bytes."""
+    for batch in batches:
+        for start, n in slices(batch.column(at)):
+            yield batch.slice(start, n)
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Text number and word number of each run of letters, and the distinct words (marked, lower case)."""
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
@@ -167,12 +175,15 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, per_language:
     """
     path = path or vocabulary_path()
     known = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a number for each language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(counts, "lang").where(place * F.col("count") < per_language).select("lang", "text")
+    share = F.lit(0.0)
+    for lang, n in sorted(counts.items()):
+        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
+    sample = known.where(place < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts_of(batches):
             owner, codes, words = _words(batch.column("text"))
             lang = pc.dictionary_encode(batch.column("lang"))
             pair = np.asarray(lang.indices)[owner].astype(np.int64) * max(1, len(words)) + codes
@@ -190,7 +201,7 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, per_language:
         sample.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")),
         "words",
     )
-    langs = sorted(r["lang"] for r in counts.select("lang").collect())
+    langs = sorted(counts)
     _, size = piece_table(path)
     rank = 1.0 / (np.arange(size) + 100.0)
     probs = np.repeat((rank / rank.sum())[:, None], max(1, len(langs)), axis=1)
@@ -255,7 +266,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts_of(batches):
             pred, share = classify(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(share, pa.float64())],
@@ -271,7 +282,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts_of(batches, at):
             pred, share = classify(batch.column(at), model)
             yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, share.tolist(), strict=True)], pa.bool_()))
 

@@ -136,7 +136,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, codes = vocabulary(path)
         for batch in batches:
-            for at, n in slices(batch.column("text")):
+            for at, n in slices(batch.column("text"), 6 << 20):
                 part = batch.slice(at, n)
                 ids, starts = codes.expand(*split_words(part.column("text")), n)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
@@ -170,7 +170,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, codes = vocabulary(path)
         for batch in batches:
-            for at, n in slices(batch.column("text")):
+            for at, n in slices(batch.column("text"), 6 << 20):
                 part = batch.slice(at, n)
                 ids, starts = codes.expand(*split_words(part.column("text")), n)
                 texts = part.column("text").to_pylist()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PARTS = 300_000
+CACHE_PARTS = 150_000
 
 
 class WordCodes:
@@ -58,7 +58,7 @@ class WordCodes:
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
-def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Start and number of texts of parts that hold about ``most_bytes``, or one text."""
     start, held = 0, 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -69,3 +69,4 @@ def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, in
         held += n
     if start < len(sizes):
         yield start, len(sizes) - start
+    pa.default_memory_pool().release_unused()
