@@ -88,13 +88,14 @@ def activity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _activities(rows: DataFrame) -> DataFrame:
-    """The first three orders of each activity as evidence; strong where the largest of them is."""
-    first = rows.groupBy("l_suppkey", "activity", "l_orderkey").agg(F.max("l_quantity").alias("q"))
-    placed = first.withColumn("n", F.row_number().over(Window.partitionBy("l_suppkey", "activity").orderBy("l_orderkey"))).where("n <= 3")
-    return placed.groupBy("l_suppkey", "activity").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "l_orderkey"))), lambda x: x["l_orderkey"]).alias("evidence"),
-        F.when(F.max("q") > 30, F.lit("strong")).otherwise(F.lit("weak")).alias("strength"),
-    )
+    """Strong where any order of the activity is large; evidence are three orders, the largest first."""
+    key = ["l_suppkey", "activity"]
+    strength = rows.groupBy(*key).agg(F.when(F.max("l_quantity") > 30, F.lit("strong")).otherwise(F.lit("weak")).alias("strength"))
+    each = rows.groupBy(*key, "l_orderkey").agg(F.max("l_quantity").alias("q"))
+    largest = Window.partitionBy(*key).orderBy(F.desc("q"), "l_orderkey")
+    placed = each.withColumn("n", F.row_number().over(largest)).where("n <= 3")  # cut before the shuffle, too
+    evidence = placed.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_orderkey"))), lambda x: x["l_orderkey"]).alias("evidence"))
+    return strength.join(evidence, key)
 
 
 QUERIES = {"tender_run": tender_run, "company_run": company_run, "activity_merge": activity_merge}
