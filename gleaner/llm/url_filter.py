@@ -1,8 +1,9 @@
 """URL filters: fixed host and path rules, then gradient-boosted trees on lexical features.
 
 Features are native column expressions: lengths, depth, digit ratio, entropy,
-parameter counts, hyphens, and how often the host's suffix was blocked among the
-labelled URLs. The trees are trained from at most ``SAMPLE_ROWS`` labelled URLs.
+parameter counts, hyphens, and how often the host's suffix was blocked among all
+labelled URLs. The trees are trained from at most ``SAMPLE_ROWS`` labelled URLs,
+weighted so that each label has the share that it has among all of them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from .common import ascii_lower, let, table
 
 SAMPLE_ROWS = 3000
 TREES, DEPTH = 10, 4
-#: Suffixes whose statistics enter the features.
-SUFFIXES = 64
 #: Fixed values of the contract: verdict, host and path of each rule.
 RULES = [
     ("allow", "com", "/"),
@@ -118,40 +117,56 @@ def seed_labels(urls: DataFrame) -> Column:
 
 
 class UrlModel:
-    """Trees with the suffix statistics that their features need; ``trees`` is None if only one label was seen."""
+    """Trees with the suffix statistics that their features need; ``trees`` is None if only one label was seen.
 
-    def __init__(self, trees: GBTClassificationModel | None, suffixes: dict[str, float], constant: str, rate: float) -> None:
+    ``suffixes`` is (suffix, suffix_rate) of every suffix with a label; other suffixes have ``rate``.
+    """
+
+    def __init__(self, trees: GBTClassificationModel | None, suffixes: DataFrame, constant: str, rate: float) -> None:
         self.trees, self.suffixes, self.constant, self.rate = trees, suffixes, constant, rate
 
-    def suffix_rate(self) -> Column:
-        if not self.suffixes:
-            return F.lit(self.rate)
-        pairs = [F.lit(x) for pair in sorted(self.suffixes.items()) for x in pair]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("suffix")), F.lit(self.rate))
+    def with_suffix_rate(self, rows: DataFrame) -> DataFrame:
+        """Adds ``suffix_rate`` to rows with a suffix; a join whose skewed partitions adaptive execution may split."""
+        return rows.join(self.suffixes, "suffix", "left").fillna(self.rate, ["suffix_rate"])
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
-    """Train on (url, label), label 1 for block. Half of the bounded sample, as far as there are enough, is of either label."""
-    parts = labelled.where("label is not null").withColumn("hp", host_path(F.col("url"))).select("url", "label", "hp.*")
-    order = [F.xxhash64("url"), "url"]
-    picked = reduce(
-        DataFrame.unionByName,
-        [parts.where(F.col("label") == v).dropDuplicates(["url"]).orderBy(*order).limit(sample_rows // 2) for v in (0.0, 1.0)],
+    """Train on (url, label), label 1 for block.
+
+    A URL counts once for each label it has. Half of the bounded sample, as far as there are enough, is of
+    either label; weights give the labels their shares among all URLs, so a score of 0.5 means the same at
+    every size. Suffix statistics are counted over all URLs.
+    """
+    parts = labelled.where("label is not null").dropDuplicates(["url", "label"]).withColumn("hp", host_path(F.col("url")))
+    parts = parts.select("url", "label", "hp.*")
+    by_suffix = materialize(
+        parts.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")
+        ),
+        "suffixes",
     )
-    sample = materialize(with_features(picked).coalesce(1), "urls")
-    by_suffix = sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
-    rows = by_suffix.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    n, bad = by_suffix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     rate = bad / n if n else 0.0
-    smoothed = {r["suffix"]: (r["bad"] + 10 * rate) / (r["n"] + 10) for r in rows}
-    model = UrlModel(None, smoothed, "block" if n and bad == n else "allow", rate)
+    suffixes = by_suffix.select("suffix", ((F.col("bad") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate"))
+    model = UrlModel(None, suffixes, "block" if n and bad == n else "allow", rate)
     if 0 < bad < n:
-        points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-            sample.withColumn("suffix_rate", model.suffix_rate())
+        order = [F.xxhash64("url"), "url"]
+        share = {1.0: rate, 0.0: 1 - rate}
+        picked = reduce(
+            DataFrame.unionByName,
+            [parts.where(F.col("label") == v).orderBy(*order).limit(sample_rows // 2) for v in share],
         )
-        model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=42, featuresCol="features", labelCol="label").fit(
-            points.select("features", "label")
+        sample = materialize(with_features(picked).coalesce(1), "urls")
+        taken = dict(sample.groupBy("label").count().collect())
+        weight = F.lit(0.0)
+        for v, s in share.items():  # of mean one
+            weight = F.when(F.col("label") == v, s * sum(taken.values()) / taken[v]).otherwise(weight)
+        points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+            model.with_suffix_rate(sample).coalesce(1).orderBy(*order, "label")
         )
+        model.trees = GBTClassifier(
+            maxIter=TREES, maxDepth=DEPTH, seed=42, featuresCol="features", labelCol="label", weightCol="weight"
+        ).fit(points.select("features", "label", weight.alias("weight")))
     return model
 
 
@@ -168,7 +183,7 @@ def judge(urls: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] |
         scored = known.withColumn("score", F.lit(1.0 if model.constant == "block" else 0.0))
     else:
         points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-            with_features(known).withColumn("suffix_rate", model.suffix_rate())
+            model.with_suffix_rate(with_features(known))
         )
         scored = model.trees.transform(points).withColumn("score", vector_to_array("probability")[1])
     own = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))

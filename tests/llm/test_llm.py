@@ -357,6 +357,24 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(df.where("page_id < 3"), none).collect()} == {"allow"}
 
 
+def test_urls_at_any_size(spark):
+    """Labels keep their shares and suffixes their statistics when only a small part is sampled."""
+    df = spark.range(4000).select(
+        F.concat(F.lit("http://a"), F.col("id").cast("string"), F.lit(".s"), (F.col("id") % 100).cast("string"), F.lit("/p")).alias("url"),
+        (F.xxhash64("id") % 20 == 0).cast("double").alias("label"),
+    )
+    n, bad = df.agg(F.count("url"), F.sum("label")).first()
+    model = url_filter.fit(df, sample_rows=200)
+    assert model.rate == bad / n
+    stats = {r.suffix: (r.n, r.bad) for r in df.groupBy(F.substring_index(F.substring_index("url", "/", 3), ".", -1).alias("suffix")).agg(F.count("url").alias("n"), F.sum("label").alias("bad")).collect()}
+    found = {r.suffix: r.suffix_rate for r in model.suffixes.collect()}
+    assert len(found) == 100 and all(abs(found[s] - (b + 10 * bad / n) / (m + 10)) < 1e-12 for s, (m, b) in stats.items())
+    scores = url_filter.judge(df.select(F.monotonically_increasing_id().alias("page_id"), "url"), model)
+    assert scores.count() == n
+    # labels are noise, so scores stay near their share; half of the sample is of either label
+    assert scores.agg(F.avg("score")).first()[0] < 0.25 and scores.where("verdict = 'block'").count() < 0.1 * n
+
+
 def test_pipeline_stages_agree_with_brute_force(spark):
     import corpus_pipeline
 
