@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.functions.assess import assess_pages
 from gleaner.functions.page import page_facts
@@ -13,15 +14,31 @@ from gleaner.streaming.changes import changes
 
 from .tables import table
 
+#: Sitemaps of a language, and pages in a part of one; the reader takes up to 50,000 locations a part.
+FILES, PART_PAGES = 7, 1000
+
 
 def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locations of sitemaps built from page URLs by language."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([a-z]{2})/", 1).alias("lang"), "url")
+    """Locations of sitemaps built from page URLs by language.
+
+    What is one file to the reader is built in parts of at most ``PART_PAGES`` pages, each numbered on from
+    the pages before it, so no part meets the limit of locations. A part holds a range of page_ids, and ranges
+    are counted first: no group of pages grows with the table, only the numbers of pages (one a range) do.
+    """
+    p = table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.regexp_extract("url", "://[^/]*/([a-z]{2})/", 1).alias("lang"), "url")
+    span = F.coalesce(F.floor(F.col("page_id") / (FILES * PART_PAGES)), F.lit((1 << 63) - 1))  # no page_id: last
+    p = p.withColumns({"file": F.concat_ws("-", "lang", (F.col("page_id") % FILES).cast("string")), "span": span})
+    before = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = p.groupBy("file", "span").count().select("file", "span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    # repeated page_ids may fill a range with more than one part
+    at = F.row_number().over(Window.partitionBy("file", "span").orderBy("page_id", "url")) - 1
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    files = p.withColumn("file", F.concat_ws("-", "lang", (F.col("page_id") % 7).cast("string"))).groupBy("file").agg(
-        F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), ""), F.lit("</urlset>")).alias("body")
+    parts = p.withColumn("at", at).withColumn("part", F.floor(F.col("at") / PART_PAGES)).groupBy("file", "span", "part").agg(
+        F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", loc.alias("l")))), lambda x: x["l"]), ""), F.lit("</urlset>")).alias("body")
     )
-    return feeds.sitemap_locations(files, "file", "body").select("file", "ord", "location")
+    first = (F.col("start") + F.col("part") * PART_PAGES).cast("int").alias("first")
+    files = parts.join(starts, ["file", "span"]).select(F.struct("file", first).alias("origin"), "body")
+    return feeds.sitemap_locations(files, "origin", "body").select("origin.file", (F.col("origin.first") + F.col("ord")).alias("ord"), "location")
 
 
 def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
