@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
-    return packing.pack_documents(docs, ids=False)
+    """Pieces of the documents with their token ids and their places in sequences."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -397,6 +397,15 @@ def test_pipeline_stages_agree_with_brute_force(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
 
 
+def test_packed_sequences_can_be_read_from_the_last_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 _seen = {}
 
 
