@@ -1,19 +1,30 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks. A linear classifier gives each block the
+A page becomes a row of text blocks. A trained classifier gives each block the
 cost of calling it content or boilerplate, the capacities of its terminal edges;
-neighbours in page order and successive blocks of one DOM parent are tied by
-smoothness edges. The minimum cut is the cheapest labelling. Blocks whose own
-cost outweighs all their ties are settled first, which leaves small graphs.
+neighbours in page order and in the DOM are tied by smoothness edges. The minimum
+cut is the cheapest labelling. Blocks whose own cost outweighs all their ties
+are settled first, which leaves small graphs.
+
+The classifier is a logistic regression on lengths, links, punctuation, depth,
+position and shares of text, without names of elements, classes or ids. Its
+training labels are the blocks of pages that name their parts (``article``,
+``nav``, ``footer`` ...), in a sample of about ``SAMPLE_PAGES`` pages by hash.
+Ties are the log-odds that neighbours at a distance in the DOM have one label,
+counted in the same sample. What a page's markup says of a block is added to its
+cost as a bounded number, so a page without telling names is cut by text alone.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +32,13 @@ from pyspark.sql.types import StringType
 
 from .common import table
 
+#: About how many pages, and at most how many of their blocks, the classifier is trained on.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select button audio video".split())
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+#: Controls and embedded things: their text is boilerplate, but the page goes on inside them if an end tag is missing.
+EMBEDDED = frozenset("svg math object canvas select button audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -31,7 +47,7 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPE = frozenset("ul ol dl table article section main nav aside header footer form body div".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split()) | EMBEDDED
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILER_WORDS = frozenset(
@@ -43,7 +59,6 @@ BOILER_WORDS = frozenset(
     share sharing social subscribe subscription newsletter signup login search form skip copyright legal""".split()
 )
 CONTENT_WORDS = frozenset("article articlebody content post entry story main body text".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S,
@@ -53,17 +68,28 @@ ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|aria-hidden|hidden)(?:\
 TOKEN = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-#: Weights of the classifier; above zero speaks for content.
-BOILER, CONTENT, OUTSIDE = -8.0, 5.0, -3.0
-CHAIN, SIBLING = 0.6, 0.9
+#: What the markup adds to a block's log-odds of being content: marked as boilerplate, inside a marked article,
+#: outside it, named like content. The classifier's own part is at most ``TEXT_LIMIT`` either way.
+BOILER, CONTENT, OUTSIDE, NAMED, TEXT_LIMIT = -8.0, 3.5, -2.0, 1.0, 2.5
+#: A tie is at most so strong, by distance in the DOM; distances from ``FAR`` on are one.
+TIE_LIMITS = (2.0, 2.0, 2.0, 1.0, 0.5, 0.3, 0.2)
+FAR = len(TIE_LIMITS) - 1
+FEATURES = [
+    "log_length", "link_share", "punctuation", "sentence_end", "depth", "position", "position_squared", "parent_text_share", "parent_link_share", "log_before", "log_after", "copyright",
+]
 
 
 @dataclass
 class Frame:
     tag: str
     number: int
-    prior: float = 0.0
+    #: The nearest element above that is a block, and the number of blocks above.
+    up: Frame | None = None
+    depth: int = 0
+    named: bool = False
     boiler: bool = False
+    #: The boilerplate mark comes from a name only, which an article inside outweighs.
+    soft: bool = False
     content: bool = False
     link: bool = False
     skip: bool = False
@@ -71,21 +97,23 @@ class Frame:
 
 @dataclass
 class Block:
-    parent: int
-    tag: str
+    holder: Frame
     frame: Frame
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
 
 def _frame(tag: str, source: str, above: Frame, number: int) -> Frame:
-    f = Frame(tag, number, above.prior, above.boiler, above.content, above.link or tag == "a", above.skip)
+    up = above.up if above.tag in INLINE else above
+    f = Frame(tag, number, up, up.depth + (tag not in INLINE), above.named, above.boiler, above.soft, above.content, above.link or tag == "a", above.skip)
     if tag == "head":
         f.skip = True
     if tag in CONTENT_TAGS:
         f.content = True
+        if f.soft:
+            f.boiler = f.soft = False
     if tag in BOILER_TAGS or (tag == "header" and not above.content):
-        f.boiler = True
+        f.boiler, f.soft = True, False
     if "=" in source or "hidden" in source:
         for m in ATTRIBUTE.finditer(source, len(tag) + 1):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -94,30 +122,31 @@ def _frame(tag: str, source: str, above: Frame, number: int) -> Frame:
                 if tokens & BOILER_WORDS and tag not in ("body", "html", "article", "main"):
                     # a header that names itself one inside an article holds the article's title
                     if not (above.content and tokens & BOILER_WORDS == {"header"}):
-                        f.boiler = True
+                        f.boiler, f.soft = True, f.soft or not f.boiler
                 elif tokens & CONTENT_WORDS and tag not in ("body", "html"):
-                    f.prior = max(f.prior, 2.0)
+                    f.named = True
             elif name == "role":
                 if value.lower() in BOILER_ROLES:
-                    f.boiler = True
+                    f.boiler, f.soft = True, False
                 elif value.lower() in ("main", "article"):
                     f.content = True
             elif name == "itemprop":
                 if value.lower() == "articlebody":
                     f.content = True
                 elif value.lower() == "comment":
-                    f.boiler = True
+                    f.boiler, f.soft = True, False
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    f.boiler = True
+                    f.boiler, f.soft = True, False
             elif name == "hidden" or value.lower() == "true":
-                f.boiler = True
+                f.boiler, f.soft = True, False
     return f
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, each with its innermost block element and the evidence of its ancestors."""
+    """Text blocks in page order, each with its innermost block element and the marks of its ancestors."""
     stack = [Frame("", 0)]
+    stack[0].up = stack[0]
     blocks: list[Block] = []
     current: Block | None = None
     numbers, at = 0, 0
@@ -131,7 +160,7 @@ def blocks_of(page: str) -> list[Block]:
             if text.isspace():
                 return
             holder = next(f for f in reversed(stack) if f.tag not in INLINE)
-            current = Block(holder.number, holder.tag, top)
+            current = Block(holder, top)
             blocks.append(current)
         current.text.append(text)
         if top.link:
@@ -168,12 +197,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(page, at)
-            if source.endswith("/>") and tag in ("svg", "math", "iframe", "object", "canvas", "audio", "video"):
-                continue
             at = len(page) if end is None else end.start()
-            if tag not in ("svg", "math", "canvas", "object", "audio", "video", "iframe", "script", "style", "template"):
+            if tag not in ("iframe", "script", "style", "template"):
                 current = None
             continue
+        if tag in EMBEDDED and source.endswith("/>"):
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 say("\n")
@@ -203,18 +232,156 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def _evidence(block: Block, length: int, has_content: bool) -> float:
-    """Above zero: content."""
-    f = block.frame
-    value = min(length / 100.0, 2.0) - 4.0 * min(1.0, block.linked / max(1, length)) + f.prior
-    value += 1.0 if block.tag in TEXT_TAGS else 0.0
-    if f.boiler:
-        value += BOILER
-    elif f.content:
-        value += CONTENT
-    elif has_content:
-        value += OUTSIDE
-    return value
+def clean(block: Block) -> str:
+    """The block's text: references decoded, white space single and trimmed."""
+    t = "".join(block.text)
+    return " ".join((html_lib.unescape(t) if "&" in t else t).split())
+
+
+PUNCTUATION, SENTENCE_END = re.compile(r"[.,;:!?。、！？]"), re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
+
+
+def features(blocks: list[Block], texts: list[str]) -> np.ndarray:
+    """(blocks, FEATURES): what the classifier sees, nothing of which depends on names."""
+    n = len(blocks)
+    out = np.zeros((n, len(FEATURES)))
+    if not n:
+        return out
+    length = np.fromiter((len(t) for t in texts), float, n)
+    linked = np.minimum(length, np.fromiter((b.linked for b in blocks), float, n))
+    group: dict[int, int] = {}
+    parent = np.fromiter((group.setdefault(b.holder.up.number, len(group)) for b in blocks), int, n)
+    under, under_linked = np.bincount(parent, length), np.bincount(parent, linked)
+    logs = np.log1p(length) / 4
+    place = (np.arange(n) + 0.5) / n
+    words = np.fromiter((t.count(" ") + 1 for t in texts), float, n)
+    out[:, 0] = logs
+    out[:, 1] = linked / np.maximum(length, 1)
+    out[:, 2] = np.minimum(1, np.fromiter((len(PUNCTUATION.findall(t)) for t in texts), float, n) / words)
+    out[:, 3] = [SENTENCE_END.search(t, max(0, len(t) - 8)) is not None for t in texts]
+    out[:, 4] = np.minimum(12, np.fromiter((b.holder.depth for b in blocks), float, n)) / 4
+    out[:, 5], out[:, 6] = place, place * place
+    out[:, 7] = under[parent] / max(1.0, length.sum())
+    out[:, 8] = under_linked[parent] / np.maximum(1, under[parent])
+    out[1:, 9], out[:-1, 10] = logs[:-1], logs[1:]
+    out[:, 11] = ["©" in t for t in texts]
+    return out
+
+
+def distance(a: Frame, b: Frame) -> int:
+    """Steps between two block elements in the DOM, ``FAR`` at most."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
+def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Pairs to tie, with their distance: blocks next to each other, and successive blocks under one parent."""
+    out, last = [], {}
+    for i, b in enumerate(blocks):
+        if i:
+            out.append((i - 1, i, distance(blocks[i - 1].holder, b.holder)))
+        before = last.get(b.holder.up.number, i)
+        if before < i - 1:
+            out.append((before, i, distance(blocks[before].holder, b.holder)))
+        last[b.holder.up.number] = i
+    return out
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Weights of ``FEATURES`` and a constant; the strength of a tie by distance, 0 to ``FAR``."""
+
+    weights: tuple[float, ...]
+    constant: float
+    ties: tuple[float, ...]
+
+
+#: Where no page of a table names its parts: a fit of this module to pages of invented prose, rounded.
+DEFAULT = TextModel(
+    (-0.4, -2.0, -0.3, -2.0, -0.4, -0.1, 0.6, 8.4, -2.0, 2.5, 1.0, -2.9), -3.7, (2.0, 2.0, 2.0, 0.5, 0.5, 0.2, 0.1)
+)
+
+
+def named_label(block: Block, page_has_content: bool) -> float | None:
+    """What the page's own names say: 1 content, 0 boilerplate, null if they say nothing."""
+    if block.frame.boiler:
+        return 0.0
+    return 1.0 if block.frame.content else None
+
+
+def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps; both labels weigh the same; the ridge pulls towards ``DEFAULT``."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    prior = np.array([*DEFAULT.weights, DEFAULT.constant])
+    w = prior.copy()
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (share * (y - p)) - ridge * (w - prior)
+        hessian = (z * (share * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_blocks: int = SAMPLE_BLOCKS) -> TextModel:
+    """Train on the blocks of about ``sample_pages`` pages (page_id, html), taken by hash; at most ``sample_blocks`` come to the driver.
+
+    Pages that name no parts teach nothing; without a block of either label the model is ``DEFAULT``.
+    """
+    every = max(1, pages.count() // sample_pages)
+    order = F.xxhash64("page_id", F.length("html"))
+    # a second hash, as pages may be partitioned by the first
+    sample = pages.where(F.pmod(F.xxhash64(order, F.lit(1)), F.lit(every)) == 0).select(order.alias("page"), "html")
+    columns = "page long, i int, label double, x array<double>, near array<int>, far array<int>"
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for page, html in zip(part["page"], part["html"], strict=True):
+                blocks = blocks_of(html or "")
+                x = features(blocks, [clean(b) for b in blocks])
+                near: dict[int, list[tuple[int, int]]] = {}
+                for a, b, d in neighbours(blocks):
+                    near.setdefault(b, []).append((a, d))
+                has = any(b.frame.content for b in blocks)
+                for i, b in enumerate(blocks):
+                    pairs = near.get(i, [])
+                    out.append((page, i, named_label(b, has), x[i].tolist(), [a for a, _ in pairs], [d for _, d in pairs]))
+            yield pd.DataFrame(out, columns=["page", "i", "label", "x", "near", "far"])
+
+    got = sample.mapInPandas(rows, columns).where("label is not null").orderBy("page", "i").limit(sample_blocks).collect()
+    y = np.array([r.label for r in got])
+    if not got or y.min() == y.max():
+        return DEFAULT
+    weights, constant = train(np.array([r.x for r in got]), y)
+    labels = {(r.page, r.i): r.label for r in got}
+    same, other = np.ones(FAR + 1), np.ones(FAR + 1)
+    for r in got:
+        for a, d in zip(r.near, r.far, strict=True):
+            if (r.page, a) in labels:
+                (same if labels[r.page, a] == r.label else other)[d] += 1
+    ties = np.where(same + other > 2, np.clip(np.log(same / other), 0.0, TIE_LIMITS), DEFAULT.ties)
+    return TextModel(tuple(weights), constant, tuple(ties))
+
+
+def costs_of(blocks: list[Block], texts: list[str], model: TextModel) -> np.ndarray:
+    """Each block's log-odds of being content: the classifier's, and what the markup adds."""
+    own = features(blocks, texts) @ np.array(model.weights) + model.constant
+    has_content = any(b.frame.content and not b.frame.boiler for b in blocks)
+    marks = [
+        BOILER if f.boiler else (CONTENT if f.content else OUTSIDE if has_content else NAMED if f.named else 0.0)
+        for f in (b.frame for b in blocks)
+    ]
+    return np.clip(own, -TEXT_LIMIT, TEXT_LIMIT) + np.array(marks)
 
 
 def minimum_cut(costs: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -308,35 +475,33 @@ def _max_flow(nodes: list[int], own: list[float], near: list[dict[int, float]],
                 room[e ^ 1] += least
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: TextModel = DEFAULT) -> str:
     """The article's text: blocks in page order joined by one space; empty for null and for a page without any."""
     blocks = blocks_of(page or "")
-    texts = []
-    for b in blocks:
-        t = "".join(b.text)
-        texts.append(" ".join((html_lib.unescape(t) if "&" in t else t).split()))
-    has_content = any(b.frame.content for b in blocks)
-    costs = [_evidence(b, len(t), has_content) for b, t in zip(blocks, texts, strict=True)]
-    ties, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            ties.append((i - 1, i, CHAIN))
-        if b.parent in last:
-            ties.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return " ".join(t for t, keep in zip(texts, minimum_cut(costs, ties), strict=True) if keep and t)
+    texts = [clean(b) for b in blocks]
+    if not blocks:
+        return ""
+    ties = [(a, b, model.ties[d]) for a, b, d in neighbours(blocks)]
+    kept = minimum_cut(costs_of(blocks, texts, model).tolist(), ties)
+    return " ".join(t for t, keep in zip(texts, kept, strict=True) if keep and t)
+
 
+def extract_text(html: Column, model: TextModel = DEFAULT) -> Column:
+    """Main text of a page by ``model``.
 
-@F.pandas_udf(StringType())
-def _main_text(pages: pd.Series) -> pd.Series:
-    return pd.Series([main_text(p) for p in pages], dtype="object")
+    A null or empty page and one without text give an empty text. Very long pages are cut whole, one page at a
+    time in a task. A block that costs the same either way (a tie) is boilerplate. Equal pages give equal texts.
+    """
 
+    @F.pandas_udf(StringType())
+    def of(pages: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, model) for p in pages], dtype="object")
 
-def extract_text(html: Column) -> Column:
-    """Main text of a page; a null page gives an empty text."""
-    return _main_text(html)
+    return of(html)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_text(F.col("html")).alias("text"))
-    return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    """Main text of all pages, one row for each row of ``pages``; repeated rows repeat, an empty table gives an empty one."""
+    pages = table(spark, sf_dir, "pages")
+    text = extract_text(F.col("html"), fit(pages.select("page_id", "html"))).alias("text")
+    return pages.select("page_id", "url", text).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import (
     embedding_dedup,
-    html_text,
     language_id,
     license_scan,
     line_dedup,
@@ -321,26 +320,6 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_main_text_and_minimum_cut():
-    page = """<html><head><title>t</title><script>var x="</p>";</script></head><body><header class="top"><h1>Site</h1></header><nav><a href=x>menu</a></nav>
-    <div class="cookie-notice">We use cookies</div><article><header><h1>Tit&eacute;l</h1></header><p>First&nbsp;para <b>bo</b>ld.<p>Second
-    line<br>here.<form>mail <input></form><div class="ad">Buy now</div><section id="comments"><p>I liked this very much indeed.</p></section></article>
-    <aside>side</aside><footer>&copy; foot</footer></body></html>"""
-    assert html_text.main_text(page) == "Titél First para bold. Second line here."
-    assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p>plain words only</p>") == "plain words only"
-    assert html_text.main_text("<article>" + "<p>word</p>" * 3000 + "</article>").count("word") == 3000
-    rng = random.Random(4)
-    for _ in range(300):
-        n = rng.randint(1, 7)
-        costs = [rng.uniform(-2, 2) for _ in range(n)]
-        ties = [(rng.randrange(n), rng.randrange(n), rng.random() * 2) for _ in range(rng.randint(0, 10))]
-
-        def price(label, costs=costs, ties=ties):
-            return sum(abs(c) for c, x in zip(costs, label, strict=True) if x != (c > 0)) + sum(w for a, b, w in ties if label[a] != label[b])
-
-        assert abs(price(html_text.minimum_cut(costs, ties)) - min(map(price, itertools.product((False, True), repeat=n)))) < 1e-7
-
-
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Com", "http://a.com/x", "https://www.example.com/en/1", "https://m.example.com/en/1?q=1", "https://b.net/es/1#f", "http://x.org/fr/", "http://example.com?x=/en/", "http://spam-farm.org/a"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
