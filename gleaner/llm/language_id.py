@@ -28,11 +28,12 @@ from .word_codes import slices
 DOCS_PER_LANGUAGE = 1000
 ROUNDS = 3
 MARK = "▁"
-#: Longer runs of letters are scored in parts of so many.
-LONGEST_WORD = 48
+#: Columns of the forward sums between two scalings, and positions whose pieces are looked up at once.
+SCALE_EVERY, BLOCK = 16, 1 << 16
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-7
-CACHE_WORDS = 50_000
+#: So many distinct words are remembered by a task, none longer than so many letters.
+CACHE_WORDS, CACHE_LETTERS = 50_000, 64
 
 
 def vocabulary_path() -> str:
@@ -87,82 +88,97 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return owner, codes, words
 
 
-def _parts(word: str) -> list[str]:
-    marked = MARK + word
-    return [marked[i : i + LONGEST_WORD] for i in range(0, len(marked), LONGEST_WORD)]
-
-
-def _forward(hashes: np.ndarray, tab: PieceTable, probs: np.ndarray) -> tuple[np.ndarray, dict]:
-    """alpha (words, length + 1, languages) and the piece ids found, by (start, stop)."""
-    count, n = hashes.shape[0], hashes.shape[1] - 1
-    alpha = np.zeros((count, n + 1, probs.shape[1]))
-    alpha[:, 0] = 1.0
-    found = {}
-    for j in range(1, n + 1):
-        total = np.zeros((count, probs.shape[1]))
-        for i in range(max(0, j - tab.longest), j):
-            ids = tab.find(hashes, i, j)
-            if j - i == 1:
-                p = np.full((count, probs.shape[1]), FLOOR)
-                if ids is not None:
-                    p = np.where((ids >= 0)[:, None], probs[ids], FLOOR)
-                total += alpha[:, i] * p
-                found[i, j] = ids
-            elif ids is not None:
-                at = np.nonzero(ids >= 0)[0]
-                if len(at):
-                    total[at] += alpha[at, i] * probs[ids[at]]
-                    found[i, j] = ids
-        alpha[:, j] = total
-    return alpha, found
+def _last_pieces(hashes: np.ndarray, tab: PieceTable, size: int, start: int, stop: int) -> np.ndarray:
+    """(words, stop - start, longest): the piece that ends at each position after start up to stop, longest first.
+
+    ``size`` stands for a letter without a piece, ``size + 1`` for no piece of that length.
+    """
+    longest = tab.longest
+    out = np.full((hashes.shape[0], stop - start, longest), size + 1, np.int32)
+    out[:, :, longest - 1] = size
+    for n in tab.keys:
+        first = max(start, n - 1)  # of the positions, each of which is an end less one
+        if first >= stop:
+            continue
+        ids = tab.find_all(hashes[:, first + 1 - n : stop + 1], n)
+        known = ids >= 0
+        out[:, first - start :, longest - n][known] = ids[known]
+    return out
+
+
+def _with_floor(probs: np.ndarray) -> np.ndarray:
+    return np.vstack([probs, np.full((1, probs.shape[1]), FLOOR), np.zeros((1, probs.shape[1]))])
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """Log-likelihood of each word in each language: all segmentations summed."""
-    tab, _ = piece_table(model.path)
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for p in _parts(w):
-            parts.append(p)
-            owner.append(i)
-    scores = np.zeros((len(parts), len(model.langs)))
-    for n, members in by_length(parts, 1 << 18):
-        hashes = prefix_hashes(code_points([parts[i] for i in members], n))
-        alpha, _ = _forward(hashes, tab, model.probs)
-        scores[members] = np.log(np.maximum(alpha[:, n], 1e-300))
+    """Log-likelihood of each word in each language: all segmentations summed, words of any length whole.
+
+    Sums are scaled every ``SCALE_EVERY`` columns, so nothing underflows.
+    """
+    tab, size = piece_table(model.path)
+    probs, longest = _with_floor(model.probs), tab.longest
     out = np.zeros((len(words), len(model.langs)))
-    np.add.at(out, owner, scores)
+    marked = [MARK + w for w in words]
+    for n, members in by_length(marked, 1 << 17):
+        hashes = prefix_hashes(code_points([marked[i] for i in members], n))
+        scale = np.zeros((len(members), probs.shape[1]))
+        carried = np.zeros((len(members), longest, probs.shape[1]))
+        carried[:, -1] = 1.0
+        for start in range(0, n, BLOCK):
+            ids = _last_pieces(hashes, tab, size, start, min(n, start + BLOCK))
+            # column j holds the sum over the segmentations of the first start + j + 1 - longest letters
+            sums = np.zeros((len(members), longest + ids.shape[1], probs.shape[1]))
+            sums[:, :longest] = carried
+            for j in range(ids.shape[1]):
+                sums[:, longest + j] = (sums[:, j : j + longest] * probs[ids[:, j]]).sum(axis=1)
+                if j % SCALE_EVERY == SCALE_EVERY - 1:
+                    by = sums[:, longest + j].copy()
+                    sums[:, j + 1 : j + 1 + longest] /= by[:, None]
+                    scale += np.log(by)
+            carried = sums[:, -longest:]
+        out[members] = scale + np.log(carried[:, -1])
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, path: str, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, (pieces, languages); ``weights`` is (words, languages)."""
     tab, size = piece_table(path)
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for p in _parts(w):
-            parts.append(p)
-            owner.append(i)
-    out = np.zeros((size, probs.shape[1]))
-    for n, members in by_length(parts, 1 << 17):
-        hashes = prefix_hashes(code_points([parts[i] for i in members], n))
-        alpha, found = _forward(hashes, tab, probs)
-        beta = np.zeros_like(alpha)
-        beta[:, n] = weights[[owner[i] for i in members]] / np.maximum(alpha[:, n], 1e-300)
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + tab.longest) + 1):
-                if (i, j) not in found:
-                    continue
-                ids = found[i, j]
-                known = ids >= 0 if ids is not None else np.zeros(len(members), bool)
-                p = np.zeros((len(members), probs.shape[1]))
-                p[known] = probs[ids[known]] if known.any() else 0
-                if j - i == 1:
-                    p[~known] = FLOOR
-                flow = p * beta[:, j]
-                if known.any():
-                    np.add.at(out, ids[known], alpha[known, i] * flow[known])
-                beta[:, i] += flow
+    wide, longest, langs = _with_floor(probs), tab.longest, probs.shape[1]
+    out = np.zeros((size, langs))
+    marked = [MARK + w for w in words]
+    for n, members in by_length(marked, 1 << 15):
+        count = len(members)
+        hashes = prefix_hashes(code_points([marked[i] for i in members], n))
+        ids = _last_pieces(hashes, tab, size, 0, n)
+        # sums before and after each place, each with the log of its scale; place k is column k + longest - 1 and k
+        before, after = np.zeros((count, longest + n, langs)), np.zeros((count, n + longest, langs))
+        before_log, after_log = np.zeros_like(before), np.zeros_like(after)
+        before[:, longest - 1], after[:, n] = 1.0, 1.0
+        for k in range(1, n + 1):
+            before[:, k + longest - 1] = (before[:, k - 1 : k + longest - 1] * wide[ids[:, k - 1]]).sum(axis=1)
+            if k % SCALE_EVERY == 0:
+                by = before[:, k + longest - 1].copy()
+                before[:, k : k + longest] /= by[:, None]
+                before_log[:, k:] += np.log(by)[:, None]
+        steps = np.arange(longest)
+        for k in range(n - 1, -1, -1):
+            reach = min(longest, n - k)
+            p = wide[ids[:, k + steps[:reach], longest - 1 - steps[:reach]]]
+            after[:, k] = (after[:, k + 1 : k + 1 + reach] * p).sum(axis=1)
+            if (n - k) % SCALE_EVERY == 0:
+                by = after[:, k].copy()
+                after[:, k : k + longest] /= by[:, None]
+                after_log[:, : k + longest] += np.log(by)[:, None]
+        total = before_log[:, -1] + np.log(before[:, -1])
+        share = weights[members]
+        for k in range(1, n + 1):
+            word, back = np.nonzero(ids[:, k - 1] < size)
+            if not len(word):
+                continue
+            piece, from_ = ids[word, k - 1, back], k - 1 + back
+            logs = before_log[word, from_] + after_log[word, k] - total[word]
+            flow = before[word, from_] * probs[piece] * after[word, k] * np.exp(logs) * share[word]
+            np.add.at(out, piece, flow)
     return out
 
 
@@ -245,7 +261,8 @@ def classify(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     for w in new:
         if len(known) >= CACHE_WORDS:
             break
-        known[w] = fresh[w]
+        if len(w) <= CACHE_LETTERS:
+            known[w] = fresh[w]
     totals = np.stack(
         [np.bincount(owner, weights=table_[codes, k], minlength=len(texts)) for k in range(len(model.langs))], axis=1
     )
@@ -261,7 +278,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; lang, source and doc_id are not looked at.
 
     Null texts and texts without a letter are ``und`` with score 0. Equal
-    likelihoods go to the language that sorts first. Repeated rows give repeated results.
+    likelihoods go to the language that sorts first. Repeated rows give repeated
+    results, an empty table an empty one. Very long texts and runs of letters
+    are scored whole. Further columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -290,11 +309,13 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """True for every fifth document by its doc_id; false for a null doc_id, from which nothing is learned either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, one row for each row; learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs, ~held_out())
+    model = fit(docs, F.col("doc_id").isNotNull() & ~held_out())
     found = identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -76,7 +76,14 @@ class PieceTable:
         keys = self.keys.get(n)
         if keys is None:
             return None
-        wanted = hashes[:, stop] - hashes[:, start] * self.power[n]
+        return self._look_up(hashes[:, stop] - hashes[:, start] * self.power[n], n)
+
+    def find_all(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """(words, places): ids of the pieces of length n that begin at each place of every word; -1 for none."""
+        return self._look_up(hashes[:, n:] - hashes[:, :-n] * self.power[n], n)
+
+    def _look_up(self, wanted: np.ndarray, n: int) -> np.ndarray:
+        keys = self.keys[n]
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, self.ids[n][at], -1)
 

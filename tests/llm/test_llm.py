@@ -397,3 +397,54 @@ def fingerprint_of(row):
 def test_checksum_of_kept_text(spark):
     r = line_dedup.op7_line_dedup(spark, SF).first()
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def exact_forward(word, probs, find):
+    """Log-likelihood with numbers of any size, one language."""
+    from decimal import Decimal
+
+    marked = language_id.MARK + word
+    sums = [Decimal(1)]
+    for j in range(1, len(marked) + 1):
+        total = Decimal(0)
+        for i in range(max(0, j - 16), j):
+            k = find(marked[i:j])
+            total += sums[i] * Decimal(probs[k] if k >= 0 else language_id.FLOOR if j - i == 1 else 0)
+        sums.append(total)
+    return float(sums[-1].ln())
+
+
+def test_long_words_are_summed_whole():
+    path = language_id.vocabulary_path()
+    table, size = language_id.piece_table(path)
+    probs = np.random.default_rng(2).random((size, 2)) / size
+    model = language_id.Model(path, ["a", "b"], probs)
+    seen = {}
+
+    def find(s):
+        if s not in seen:
+            ids = table.find(language_id.prefix_hashes(language_id.code_points([s], len(s))), 0, len(s))
+            seen[s] = -1 if ids is None else int(ids[0])
+        return seen[s]
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdluü日") for _ in range(n)) for n in (15, 16, 17, 31, 60, 60, 1000)]
+    got = language_id.word_scores(words, model)
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row, [exact_forward(w, probs[:, k], find) for k in (0, 1)], rtol=1e-9), len(w)
+    assert np.isfinite(language_id.word_scores(["thering" * 14_286], model)).all()
+    # blocks of positions change nothing
+    before, language_id.BLOCK = language_id.BLOCK, 37
+    try:
+        assert np.allclose(language_id.word_scores(words, model), got, rtol=1e-12)
+    finally:
+        language_id.BLOCK = before
+    # an expected count is the derivative of the log-likelihood by the log of the probability
+    for w in (words[0], words[4]):
+        counts = language_id.expected_counts([w], np.array([[1.0, 0.0]]), path, probs)
+        assert counts[:, 1].sum() == 0
+        for k in np.nonzero(counts[:, 0] > 0.05)[0][:4]:
+            more = probs.copy()
+            more[k] *= 1.0001
+            rise = (language_id.word_scores([w], language_id.Model(path, ["a", "b"], more)) - language_id.word_scores([w], model))[0, 0]
+            assert abs(rise / np.log(1.0001) - counts[k, 0]) < 1e-2 * max(1, counts[k, 0])
