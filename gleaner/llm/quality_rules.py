@@ -153,29 +153,55 @@ def _grow(rows: list[dict], longest: int) -> list[Test]:
     return rule
 
 
-def _precision(rule: list[Test], rows: list[dict]) -> tuple[float, int]:
-    hit = [r["bad"] for r in rows if all(t.holds(r) for t in rule)]
-    return (sum(hit) / len(hit) if hit else 0.0), len(hit)
+def _covers(rule: list[Test], row: dict) -> bool:
+    return all(t.holds(row) for t in rule)
+
+
+def _precision(rule: list[Test], rows: list[dict]) -> float:
+    """Share of bad rows among those that the rule covers, as if one row of either kind had been seen before."""
+    hit = [r["bad"] for r in rows if _covers(rule, r)]
+    return (sum(hit) + 1) / (len(hit) + 2)
 
 
 def learn(rows: list[dict], precision: float = 0.9, longest: int = 3, most_rules: int = 12) -> list[list[Test]]:
-    """Rules for bad rows, in order. ``rows`` are features with a key ``bad`` (0 or 1)."""
-    grow, prune, rules = [r for i, r in enumerate(rows) if i % 3], rows[::3], []
-    while len(rules) < most_rules:
-        rule = _grow(grow, longest)
-        while len(rule) > 1 and _precision(rule[:-1], prune)[0] >= _precision(rule, prune)[0]:
-            rule = rule[:-1]
-        p, n = _precision(rule, prune)
-        if not rule or n == 0 or p < precision:
+    """Rules for bad rows, in order. ``rows`` are features with a key ``bad`` (0 or 1).
+
+    Each rule is grown on two thirds of the rows that are left, loses the tests at its end whose removal the last
+    third does not mind, and is kept if of all rows left that it covers at least ``precision`` are bad, and half on
+    the last third. A rule that fails is dropped, and the bad rows it was grown for are set aside, so that the next
+    one describes others. Ties go to the feature that comes first in ``FEATURES`` and the smaller threshold.
+    """
+    rules: list[list[Test]] = []
+    left, aside = list(enumerate(rows)), set()
+    tries = 0
+    while len(rules) < most_rules and tries < 2 * most_rules:
+        tries += 1
+        grow = [r for i, r in left if i % 3 and i not in aside]
+        prune = [r for i, r in left if i % 3 == 0]
+        rule = grown = _grow(grow, longest)
+        if not rule:
             break
-        rules.append(rule)
-        keep = lambda part, rule=rule: [r for r in part if not all(t.holds(r) for t in rule)]
-        grow, prune = keep(grow), keep(prune)
+        while len(rule) > 1 and _precision(rule[:-1], prune) >= _precision(rule, prune):
+            rule = rule[:-1]
+        hit = [r["bad"] for _, r in left if _covers(rule, r)]
+        held = [r["bad"] for r in prune if _covers(rule, r)]
+        if sum(hit) >= precision * len(hit) and 2 * sum(held) >= len(held):
+            rules.append(rule)
+            left = [(i, r) for i, r in left if not _covers(rule, r)]
+        else:
+            known = len(aside)
+            aside |= {i for i, r in left if r["bad"] and _covers(grown, r)}
+            if len(aside) == known:
+                break
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Test]]:
-    """Learn the list from at most ``sample_rows`` labelled rows; no labels give no rules (all texts pass)."""
+    """Learn the list from at most ``sample_rows`` labelled rows; no labels give no rules (all texts pass).
+
+    Rows that the base rejects teach nothing: the list decides on those that are left. A document with several
+    labels counts as bad if one says so.
+    """
     sample = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -189,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
         .select("doc_id", "quality", text_stats(F.col("text")).alias("s"))
         .select("doc_id", "quality", "s.*")
     )
-    got = stats.select("doc_id", (1 - F.col("quality")).alias("bad"), *(e(F.col).alias(f) for f, e in FEATURES.items()))
+    got = stats.where(~base_failed()).select("doc_id", (1 - F.col("quality")).alias("bad"), *(e(F.col).alias(f) for f, e in FEATURES.items()))
     return learn([r.asDict() for r in got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()])
 
 
