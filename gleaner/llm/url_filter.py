@@ -21,7 +21,10 @@ from gleaner.operators.storage import materialize
 from .common import ascii_lower, let, table
 
 SAMPLE_ROWS = 3000
-TREES, DEPTH = 10, 4
+#: Each split chooses among part of the features, so that none carries the verdict alone.
+TREES, DEPTH, LEAST_ROWS, FEATURE_SUBSET = 10, 4, 5, "0.6"
+#: A page is junk if over this share of its words are symbols or end in them, or over this share of its text is in links.
+JUNK_SYMBOLS, JUNK_LINKS = 0.2, 0.6
 #: Fixed values of the contract: verdict, host and path of each rule.
 RULES = [
     ("allow", "com", "/"),
@@ -33,7 +36,7 @@ RULES = [
 #: Words between hyphens or dots of a host that label a URL as unwanted for training.
 UNWANTED = "ad ads adult bet bonus casino cheap cialis clickbait crack dating deals escort free gambling loan loans lottery nude pharma pills poker porn replica sex slots spam torrent viagra warez win xxx".split()
 FEATURES = [
-    "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "hyphens", "host_hyphens", "punctuation", "https", "suffix_rate",
+    "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "hyphens", "host_hyphens", "punctuation", "https", "host_words", "host_mean_word", "host_longest_word", "host_vowels", "suffix_rate",
 ]
 
 
@@ -89,6 +92,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 def with_features(urls: DataFrame) -> DataFrame:
     """Adds the features, but for the suffix's, to rows of (url, host, path)."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
+    words = F.split(host, r"[.\-]+")
     return urls.withColumns(
         {
             "url_length": F.length(url).cast("double"),
@@ -105,15 +109,50 @@ def with_features(urls: DataFrame) -> DataFrame:
             "host_hyphens": _count(host, "\\-").cast("double"),
             "punctuation": _ratio(_count(url, "%=&_~+;,"), F.length(url)),
             "https": F.startswith(url, F.lit("https:")).cast("double"),
+            "host_words": F.size(words).cast("double"),
+            "host_mean_word": _ratio(F.length(F.array_join(words, "")), F.size(words)),
+            "host_longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("double"),
+            "host_vowels": _ratio(_count(host, "aeiouy"), F.length(host)),
             "suffix": F.substring_index(host, ".", -1),
         }
     )
 
 
-def seed_labels(urls: DataFrame) -> Column:
-    """1 for URLs to block: a word of ``UNWANTED`` stands alone in the host; else 0."""
-    parts = F.split(F.col("host"), r"[.\-]")
-    return F.arrays_overlap(parts, F.array(*(F.lit(w) for w in UNWANTED))).cast("double")
+def junk_page(html: Column) -> Column:
+    """True if the page's text is mostly links, or strewn with symbols; false for null and for a page without text."""
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+
+    def of_body(b: Column) -> Column:
+        said = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), "&amp;", "&"))
+        links = said(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), 1), " "))
+
+        def of_text(t: Column) -> Column:
+            words = F.length(F.regexp_replace(t, r"[^ ]+ *", "x"))
+            marked = F.length(F.regexp_replace(F.regexp_replace(t, r"[^ ]*[#*$%&|]+(?= |$)", "\u0001"), "[^\u0001]", ""))
+            return F.coalesce(
+                (marked > JUNK_SYMBOLS * F.greatest(words, F.lit(1))) | (F.length(links) > JUNK_LINKS * F.greatest(F.length(t), F.lit(1))),
+                F.lit(False),
+            )
+
+        return let(said(b), of_text)
+
+    return let(body, of_body)
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, label) of all pages (url, html): label 1 for the URLs of an unwanted host, else 0.
+
+    A host is unwanted if a word of ``UNWANTED`` stands alone in it, or if most of its pages are junk (of at
+    least three). The trees see neither words nor pages, only lexical features.
+    """
+    known = pages.where("url is not null").select("url", host_path(F.col("url"))["host"].alias("host"), junk_page(F.col("html")).alias("junk"))
+    by_url = materialize(
+        known.groupBy("url", "host").agg(F.count(F.lit(1)).alias("n"), F.count_if("junk").alias("junk")), "labelled"
+    )
+    hosts = by_url.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("junk").alias("host_junk"))
+    named = F.arrays_overlap(F.split(F.col("host"), r"[.\-]"), F.array(*(F.lit(w) for w in UNWANTED)))
+    bad = named | (2 * F.col("host_junk") > F.col("host_n") + 2)
+    return by_url.join(hosts, "host").select("url", bad.cast("double").alias("label"))
 
 
 class UrlModel:
@@ -165,7 +204,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
             model.with_suffix_rate(sample).coalesce(1).orderBy(*order, "label")
         )
         model.trees = GBTClassifier(
-            maxIter=TREES, maxDepth=DEPTH, seed=42, featuresCol="features", labelCol="label", weightCol="weight"
+            maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_ROWS, featureSubsetStrategy=FEATURE_SUBSET, seed=42,
+            featuresCol="features", labelCol="label", weightCol="weight",
         ).fit(points.select("features", "label", weight.alias("weight")))
     return model
 
@@ -174,8 +214,9 @@ def judge(urls: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] |
     """(page_id, host, path, rule, verdict, score) for rows of (page_id, url).
 
     The longest rule that fits decides, else the trees (score: their probability
-    of block). Null URLs and URLs without ``://`` have no host and fit no rule.
-    Repeated rows give repeated results.
+    of block; a tie at one half is allowed). Null URLs and URLs without ``://``
+    have no host and fit no rule. Repeated rows give repeated results, an empty
+    table an empty one; very long URLs are read whole; further columns are not read.
     """
     parts = urls.select("page_id", "url", host_path(F.col("url")).alias("hp")).select("page_id", "url", "hp.*")
     known = parts.withColumn("fit", match_rule(F.col("host"), F.col("path"), rules))
@@ -193,7 +234,6 @@ def judge(urls: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] |
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "pages").select("page_id", "url")
-    parts = urls.withColumn("hp", host_path(F.col("url"))).select("url", "hp.*")
-    model = fit(parts.select("url", seed_labels(parts).alias("label")))
-    return judge(urls, model)
+    """Verdict on the URL of every page, one row for each row of ``pages``."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), fit(labelled_urls(pages.select("url", "html"))))
