@@ -4,7 +4,9 @@ Documents become pieces of at most ``CAPACITY`` tokens. Pieces are dealt by hash
 into shards of about ``SHARD_PIECES``; a few islands evolve packings of each
 shard, every island a Spark group of its own. A solution's genes are whole bins:
 crossover injects the well-filled bins of one parent into the other, removes the
-bins they make incomplete and puts the displaced pieces back by best fit.
+bins they make incomplete and puts the displaced pieces back: first in exchange
+for smaller pieces of bins that they fill better, the rest by best fit.
+A shard whose packing meets the lower bound is done; only the others are searched further.
 Between epochs each island's elite migrates to the next. Bins that even the
 best packing leaves unfilled are dissolved, and their pieces meet those of other
 shards on the next level.
@@ -16,8 +18,10 @@ import os
 import random
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,9 +39,12 @@ CAPACITY = 4096
 END = 1
 SHARD_PIECES = 1024
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+EPOCHS = 3
+#: Of an epoch, for shards above their lower bound.
+GENERATIONS = 16
+POPULATION = 8
+#: Pairs of displaced pieces are tried in exchanges while no more than so many pieces are displaced; single ones always.
+PAIRED = 48
 #: A bin at least so full is final; emptier ones go to the next level.
 FULL = 0.99
 LEVELS = 4
@@ -188,20 +195,51 @@ def _from(bins: list[list[int]], sizes: list[int], capacity: int) -> Packing:
     return out
 
 
-def _cross(a: Packing, b: Packing, rng: random.Random, falling: list[int]) -> Packing:
-    """Well-filled bins of ``b`` enter ``a``; bins that lose a piece to them are dissolved, as is a's emptiest bin."""
-    good = [m for m, r in zip(b.bins, b.room, strict=True) if r <= b.capacity // 64]
-    injected = rng.sample(good, max(1, len(good) // 3)) if good else []
+def _exchange(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Displaced pieces, one or two, take the place of one or two smaller ones of a bin that they fill better.
+
+    Bins are changed in place; what is displaced then is returned. Each exchange fills its bin as far as any can.
+    """
+    for k in rng.sample(range(len(bins)), len(bins)):
+        members = bins[k]
+        room = capacity - sum(sizes[i] for i in members)
+        if not room or not loose:
+            continue
+        sums = sorted([(sizes[i], (i,)) for i in loose])
+        if len(loose) <= PAIRED:
+            sums = sorted(sums + [(sizes[i] + sizes[j], (i, j)) for i, j in combinations(loose, 2)])
+        keys = [x for x, _ in sums]
+        out_of = [(i,) for i in members] + (list(combinations(members, 2)) if len(members) <= 6 else [])
+        best, better = 0, None
+        for out in out_of:
+            had = sum(sizes[i] for i in out)
+            at = bisect_right(keys, had + room) - 1
+            if at >= 0 and keys[at] - had > best:
+                best, better = keys[at] - had, (out, sums[at][1])
+        if better:
+            out, in_ = better
+            bins[k] = [i for i in members if i not in out] + list(in_)
+            loose = [i for i in loose if i not in in_] + list(out)
+    return loose
+
+
+def _cross(a: Packing, b: Packing, rng: random.Random) -> Packing:
+    """Well-filled bins of ``b`` enter ``a``; bins that lose a piece to them are dissolved, as are a few of a's emptiest."""
+    order = sorted(range(len(b.bins)), key=b.room.__getitem__)
+    good = [b.bins[k] for k in order[: max(1, len(order) // 2)]]
+    injected = rng.sample(good, max(1, len(good) // 3))
     taken = {i for m in injected for i in m}
-    emptiest = max(range(len(a.bins)), key=a.room.__getitem__)
-    stay, loose = [], set()
+    emptiest = set(sorted(range(len(a.bins)), key=a.room.__getitem__)[-rng.randint(1, 3) :])
+    stay, loose = [], []
     for k, m in enumerate(a.bins):
-        if k == emptiest or not taken.isdisjoint(m):
-            loose.update(i for i in m if i not in taken)
+        if k in emptiest or not taken.isdisjoint(m):
+            loose.extend(i for i in m if i not in taken)
         else:
-            stay.append(m)
-    child = _from(injected + stay, a.sizes, a.capacity)
-    child.best_fit([i for i in falling if i in loose])
+            stay.append(list(m))
+    bins = [list(m) for m in injected] + stay
+    loose = _exchange(bins, loose, a.sizes, a.capacity, rng)
+    child = _from(bins, a.sizes, a.capacity)
+    child.best_fit(sorted(loose, key=lambda i: (-a.sizes[i], i)))
     return child
 
 
@@ -211,20 +249,24 @@ def evolve(
     """The final population, best first. ``start`` holds solutions to begin with."""
     rng = random.Random(seed)
     falling = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    least = -(-sum(sizes) // capacity)
     people = [_from(bins, sizes, capacity) for bins in start]
-    while len(people) < POPULATION:
-        order = falling if not people else sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.7, 1.0))
+    if not people:
+        people.append(Packing(sizes, capacity))
+        people[0].best_fit(falling)
+    done = min(len(p.bins) for p in people) <= least
+    while len(people) < (2 if done else POPULATION):
         p = Packing(sizes, capacity)
-        p.best_fit(order)
+        p.best_fit(sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.7, 1.0)))
         people.append(p)
     people.sort(key=Packing.fitness, reverse=True)
-    least = -(-sum(sizes) // capacity)
     for _ in range(generations):
         if len(people[0].bins) <= least:
             break
         a, b = rng.sample(people, 2)
-        people.append(_cross(a, b, rng, falling))
-        people.append(_cross(b, a, rng, falling))
+        for child in (_cross(a, b, rng), _cross(b, a, rng)):
+            if all(child.fitness() != p.fitness() for p in people):  # equal ones would crowd out the others
+                people.append(child)
         people.sort(key=Packing.fitness, reverse=True)
         del people[POPULATION:]
     return people
@@ -312,7 +354,8 @@ def _settle(capacity: int, level: int, last: bool):
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(item, sequence_id, offset) for rows of (item, length), 1 <= length <= capacity.
 
-    ``item`` is unique. Every piece gets a place; the places of a sequence leave no gap.
+    ``item`` is unique. Every piece gets a place; the places of a sequence leave no gap. Pieces of equal length
+    are told apart by their number only. An empty table gives an empty one.
     """
     done, left = [], items
     count = left.count()
@@ -350,8 +393,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset
     and, if asked for, ids (little-endian unsigned 32-bit numbers).
 
-    A null or empty text is one piece of the end token. Repeated rows are packed
-    each. An empty table gives an empty one. Other columns of ``docs`` are not read.
+    A null or empty text is one piece of the end token. Very long texts are encoded whole and cut into pieces of
+    ``capacity``. Repeated rows and rows without doc_id are packed each. An empty table gives an empty one. Other
+    columns of ``docs``, whatever their names, are not read.
     """
     cut = tokenize(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids"))
     if not ids:
@@ -362,4 +406,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places, without the ids."""
     return pack_documents(table(spark, sf_dir, "documents"), ids=False)
