@@ -211,6 +211,48 @@ def test_license_base_and_spans(spark, docs, rows, empty):
         assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert got[100].labels == "mit" and got[100].base_labels == "" and 0.8 <= got[100].score < 1
     assert license_scan.scan(empty).count() == 0
+    clash = license_scan.scan(docs.selectExpr("*", "1 as version", "2 as words", "3 as h", "4 as template", "5 as label"))
+    assert sorted(map(repr, clash.collect())) == sorted(map(repr, license_scan.scan(docs).collect()))
+
+
+@pytest.mark.parametrize("number", range(len(license_scan.TEMPLATES)))
+def test_license_templates(spark, number):
+    """Each template is found whole, with a word put in and with one left out; half of it or its words astray are not."""
+    label, template = license_scan.TEMPLATES[number]
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.translate(LOWER))
+    middle, noise = len(w) // 2, "lorem ipsum dolor sit amet"
+    astray = [x for i in range(len(w)) for x in (w[(i * 7 + 3) % len(w)], f"q{i}")]
+    texts = [w, [*w[:middle], "surely", *w[middle:]], w[: len(w) // 2], astray, [*w[:middle], *(f"z{i}" for i in range(9)), *w[middle:]]]
+    if len(w) > license_scan.SHORT:
+        texts.append([*w[:middle], *w[middle + 1 :]])
+    rows = [(i, f"{noise} {' '.join(t)} {noise}".upper() if i % 2 else f"{noise}\n{' '.join(t)}, {noise}") for i, t in enumerate(texts)]
+    spans = license_scan.license_spans(spark.createDataFrame(rows, "doc_id long, text string"), [(label, template)]).collect()
+    got = {r.doc_id: r for r in spans}
+    assert set(got) == {0, 1, *((5,) if len(texts) > 5 else ())}
+    assert (got[0].first, got[0].last, got[0].share) == (5, 4 + len(w), 1.0) and got[0].label == label
+    assert got[1].share >= 0.8 and (got[1].first, got[1].last) == (5, 5 + len(w))
+
+
+def test_licenses_are_verified_by_words(spark):
+    """A window with the hash of a template's, but other words, has no vote; drift does not add up."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi")], "doc_id long, text string")
+    grams = license_scan.template_grams(spark, [("x", "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi")])
+    assert license_scan.spans_of(license_scan.read_texts(docs, grams).where("template is not null")).count() == 1
+    forged = grams.withColumn("gram", F.concat("gram", F.lit("s")))
+    assert license_scan.read_texts(docs, forged).where("template is not null").count() == 0
+    w = [f"w{i}" for i in range(40)]
+    # three words are put in after every tenth: no piece within reach of one diagonal covers the template
+    slow = " ".join(x for i, x in enumerate(w) for x in ((x, "a", "b", "c") if i % 10 == 9 else (x,)))
+    drifted = license_scan.license_spans(spark.createDataFrame([(1, slow)], "doc_id long, text string"), [("x", " ".join(w))])
+    assert drifted.count() == 0
+
+
+def test_license_query(spark):
+    out = license_scan.op3_license_scan(spark, SF)
+    assert [f"{c}:{t}" for c, t in out.dtypes] == ["doc_id:bigint", "n_words:bigint", "n_base:bigint", "first_word:bigint", "last_word:bigint", "base_labels:string", "labels:string", "score:double"]
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_packing(spark, docs, rows, empty):
