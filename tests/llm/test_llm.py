@@ -189,8 +189,35 @@ def test_line_dedup(docs, rows, empty):
             kept = [x for x in lines if r.doc_id is None or len(key(x)) < 10 or owner[key(x)] == r.doc_id]
             assert (r.lines.n_lines, r.lines.n_dropped, r.lines.kept_text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
     assert line_dedup.dedup_lines(empty).count() == 0
-    out = line_dedup.drop_repeats(docs.withColumn("lines", F.lit(1)))
-    assert out.columns == [*docs.columns, "lines"] and out.count() == len(rows)
+    clash = docs.selectExpr("*", "1 as _id", "2 as version", "3 as dropped", "4 as row", "5 as loser", "6 as lines")
+    out = line_dedup.drop_repeats(clash)
+    assert out.columns == clash.columns and out.count() == len(rows)
+    assert {r.n_chars for r in out.where("doc_id = 5").collect()} == {r.lines.kept_text.__len__() for r in line_dedup.dedup_lines(clash).where("doc_id = 5").collect()}
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark):
+    """Several compactions; anti-joins and merges read the runs as they lie."""
+    runs, want = line_dedup.Runs(spark, 2), {}
+    plans = []
+    with line_dedup.sorted_buckets(spark):
+        for i in range(9):
+            seen = spark.range(i * 7, i * 7 + 20).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), F.lit(i).cast("long").alias("owner"), F.lit(1).alias("n")).groupBy("h").agg(F.min("owner").alias("owner"), F.count("n").alias("n"))
+            for r in seen.collect():
+                want.setdefault(bytes(r.h), r.owner)
+            fresh = line_dedup.new_hashes(seen.select("h", "owner"), runs.all())
+            plans.append((len(runs.all()), fresh._jdf.queryExecution().executedPlan().toString(), line_dedup.owned(seen, runs.all())))
+            assert {bytes(r.h): r.owner for r in plans[-1][2].collect()}.items() <= want.items()
+            runs.add(fresh)
+        assert runs.compactions >= 7 and len(runs.all()) <= 4
+        got = line_dedup.merge_runs(runs.all())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan
+        assert {bytes(r.h): r.owner for r in got.collect()} == want
+    for n, plan, _ in plans:
+        # the one exchange and the one sort are those of the batch itself, none is on a run
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") <= 1, plan
+        assert plan.count("LeftAnti") == n
+    runs.close()
 
 
 def test_license_base_and_spans(spark, docs, rows, empty):
