@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from gleaner.operators.storage import materialize
 
 from .common import table
-from .pieces import PieceTable, by_length, code_points, prefix_hashes, read_pieces
+from . import pieces
+from .pieces import PieceTable, by_length, code_points, last_pieces, prefix_hashes, read_pieces
 from .word_codes import slices
 
 DOCS_PER_LANGUAGE = 1000
 ROUNDS = 3
 MARK = "▁"
-#: Columns of the forward sums between two scalings, and positions whose pieces are looked up at once.
-SCALE_EVERY, BLOCK = 16, 1 << 16
+#: Columns of the forward sums between two scalings.
+SCALE_EVERY = 16
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-7
 #: So many distinct words are remembered by a task, none longer than so many letters.
@@ -57,9 +58,9 @@ _cache: dict[int, tuple[Model, dict[str, np.ndarray]]] = {}
 def piece_table(path: str) -> tuple[PieceTable, int]:
     """The lower-cased letter pieces of a vocabulary, by new ids in order of rank; and their number."""
     if path not in _tables:
-        pieces, _, plain = read_pieces(path)
+        names, _, plain = read_pieces(path)
         own: dict[str, int] = {}
-        for p, ok in zip(pieces, plain, strict=True):
+        for p, ok in zip(names, plain, strict=True):
             if ok and p.lstrip(MARK).isalpha() and p.count(MARK) <= 1 and p == p.lower():
                 own.setdefault(p, len(own))
         _tables[path] = (PieceTable(own), len(own))
@@ -88,24 +89,6 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return owner, codes, words
 
 
-def _last_pieces(hashes: np.ndarray, tab: PieceTable, size: int, start: int, stop: int) -> np.ndarray:
-    """(words, stop - start, longest): the piece that ends at each position after start up to stop, longest first.
-
-    ``size`` stands for a letter without a piece, ``size + 1`` for no piece of that length.
-    """
-    longest = tab.longest
-    out = np.full((hashes.shape[0], stop - start, longest), size + 1, np.int32)
-    out[:, :, longest - 1] = size
-    for n in tab.keys:
-        first = max(start, n - 1)  # of the positions, each of which is an end less one
-        if first >= stop:
-            continue
-        ids = tab.find_all(hashes[:, first + 1 - n : stop + 1], n)
-        known = ids >= 0
-        out[:, first - start :, longest - n][known] = ids[known]
-    return out
-
-
 def _with_floor(probs: np.ndarray) -> np.ndarray:
     return np.vstack([probs, np.full((1, probs.shape[1]), FLOOR), np.zeros((1, probs.shape[1]))])
 
@@ -124,8 +107,8 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
         scale = np.zeros((len(members), probs.shape[1]))
         carried = np.zeros((len(members), longest, probs.shape[1]))
         carried[:, -1] = 1.0
-        for start in range(0, n, BLOCK):
-            ids = _last_pieces(hashes, tab, size, start, min(n, start + BLOCK))
+        for start in range(0, n, pieces.BLOCK):
+            ids = last_pieces(hashes, tab, size, start, min(n, start + pieces.BLOCK))
             # column j holds the sum over the segmentations of the first start + j + 1 - longest letters
             sums = np.zeros((len(members), longest + ids.shape[1], probs.shape[1]))
             sums[:, :longest] = carried
@@ -149,7 +132,7 @@ def expected_counts(words: list[str], weights: np.ndarray, path: str, probs: np.
     for n, members in by_length(marked, 1 << 15):
         count = len(members)
         hashes = prefix_hashes(code_points([marked[i] for i in members], n))
-        ids = _last_pieces(hashes, tab, size, 0, n)
+        ids = last_pieces(hashes, tab, size, 0, n)
         # sums before and after each place, each with the log of its scale; place k is column k + longest - 1 and k
         before, after = np.zeros((count, longest + n, langs)), np.zeros((count, n + longest, langs))
         before_log, after_log = np.zeros_like(before), np.zeros_like(after)

@@ -109,7 +109,7 @@ def owned(seen: DataFrame, runs: list[DataFrame]) -> DataFrame:
     """(h, n, owner, old): ``seen`` with the owner of the run that has the hash, if one has (then ``old``)."""
     for i, run in enumerate(runs):
         seen = seen.join(run.select("h", F.col("owner").alias(f"owner{i}")).hint("merge"), "h", "left")
-    first = F.coalesce(F.lit(None).cast("bigint"), *(F.col(f"owner{i}") for i in range(len(runs))))
+    first = F.coalesce(F.lit(None), *(F.col(f"owner{i}") for i in range(len(runs))))
     return seen.select("h", "n", F.coalesce(first, "owner").alias("owner"), first.isNotNull().alias("old"))
 
 

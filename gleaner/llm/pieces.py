@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Positions of a word whose pieces are looked up at once.
+BLOCK = 1 << 16
 #: Each code point is spread over 64 bits before it enters the polynomial.
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -49,7 +51,7 @@ def by_length(words: list[str], most_cells: int = 1 << 20) -> Iterator[tuple[int
 
 
 class PieceTable:
-    """Sorted keys of pieces by length; ``find`` gives piece ids or -1."""
+    """Sorted keys of pieces by length; ``find_all`` gives piece ids or -1."""
 
     def __init__(self, pieces: dict[str, int]) -> None:
         self.longest = max(map(len, pieces), default=1)
@@ -70,14 +72,6 @@ class PieceTable:
             for _ in range(self.longest):
                 self.power.append(np.uint64(self.power[-1] * BASE))
 
-    def find(self, hashes: np.ndarray, start: int, stop: int) -> np.ndarray | None:
-        """Piece ids of the substring [start, stop) of every word; None if no piece is that long."""
-        n = stop - start
-        keys = self.keys.get(n)
-        if keys is None:
-            return None
-        return self._look_up(hashes[:, stop] - hashes[:, start] * self.power[n], n)
-
     def find_all(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """(words, places): ids of the pieces of length n that begin at each place of every word; -1 for none."""
         return self._look_up(hashes[:, n:] - hashes[:, :-n] * self.power[n], n)
@@ -88,6 +82,24 @@ class PieceTable:
         return np.where(keys[at] == wanted, self.ids[n][at], -1)
 
 
+def last_pieces(hashes: np.ndarray, tab: PieceTable, size: int, start: int, stop: int) -> np.ndarray:
+    """(words, stop - start, longest): the piece that ends at each position after start up to stop, longest first.
+
+    ``size`` stands for a letter without a piece, ``size + 1`` for no piece of that length.
+    """
+    longest = tab.longest
+    out = np.full((hashes.shape[0], stop - start, longest), size + 1, np.int32)
+    out[:, :, longest - 1] = size
+    for n in tab.keys:
+        first = max(start, n - 1)  # of the positions, each of which is an end less one
+        if first >= stop:
+            continue
+        ids = tab.find_all(hashes[:, first + 1 - n : stop + 1], n)
+        known = ids >= 0
+        out[:, first - start :, longest - n][known] = ids[known]
+    return out
+
+
 def read_pieces(path: str) -> tuple[list[str], list[float], list[bool]]:
     """Pieces, scores and whether each is an ordinary piece, in order of id."""
     import sentencepiece

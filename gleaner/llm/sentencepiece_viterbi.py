@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .language_id import vocabulary_path
-from .pieces import PieceTable, by_length, code_points, prefix_hashes, read_pieces
+from . import pieces
+from .pieces import PieceTable, by_length, code_points, last_pieces, prefix_hashes, read_pieces
 from .word_codes import WordCodes, slices
 
 SPACE = "▁"
@@ -34,45 +35,46 @@ PENALTY = 10.0
 
 class Vocabulary:
     def __init__(self, path: str) -> None:
-        pieces, scores, plain = read_pieces(path)
-        own = {p: i for i, (p, ok) in enumerate(zip(pieces, plain, strict=True)) if ok}
+        names, scores, plain = read_pieces(path)
+        own = {p: i for i, (p, ok) in enumerate(zip(names, plain, strict=True)) if ok}
         self.table = PieceTable(own)
         self.scores = np.array(scores)
         self.unknown = min(scores[i] for i in own.values()) - PENALTY
-        self.byte_ids = [pieces.index(f"<0x{b:02X}>") for b in range(256)]
+        #: By piece, then for a letter without a piece and for no piece at all.
+        self.gains = np.concatenate([self.scores, [self.unknown, -np.inf]])
+        self.byte_ids = [names.index(f"<0x{b:02X}>") for b in range(256)]
         joined = sorted({c for p in own if len(p) > 1 for c in p} - {SPACE})
         letters = "".join(map(re.escape, joined))
         self.units = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|.", re.S) if joined else re.compile(".", re.S)
         if any(SPACE in p.lstrip(SPACE) for p in own):
             raise ValueError("a piece holds a space after another character")
-        self.spell = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(pieces, plain, strict=True)]
+        self.spell = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(names, plain, strict=True)]
         for b, i in enumerate(self.byte_ids):
             self.spell[i] = bytes([b])
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
-        n = len(words[0])
+        """Ids of words of one length. Positions come in blocks, so a run without an end needs memory for its backpointers only."""
+        n, count, longest = len(words[0]), len(words), self.table.longest
         hashes = prefix_hashes(code_points(words, n))
-        count = len(words)
-        best = np.full((count, n + 1), -np.inf)
-        best[:, 0] = 0.0
-        length = np.zeros((count, n + 1), np.int64)
-        piece = np.full((count, n + 1), -1, np.int64)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.table.longest), j):
-                ids = self.table.find(hashes, i, j)
-                if ids is None:
-                    if j - i > 1:
-                        continue
-                    ids = np.full(count, -1)
-                score = np.where(ids >= 0, self.scores[ids], self.unknown if j - i == 1 else -np.inf)
-                score = best[:, i] + score
-                better = score > best[:, j]
-                best[better, j] = score[better]
-                length[better, j] = j - i
-                piece[better, j] = ids[better]
-        at = np.full(count, n)
+        length = np.zeros((count, n + 1), np.int16)
+        piece = np.full((count, n + 1), -1, np.int32)
         rows = np.arange(count)
+        carried = np.full((count, longest), -np.inf)
+        carried[:, -1] = 0.0
+        for start in range(0, n, pieces.BLOCK):
+            ids = last_pieces(hashes, self.table, len(self.scores), start, min(n, start + pieces.BLOCK))
+            gain = self.gains[ids]
+            best = np.full((count, longest + ids.shape[1]), -np.inf)
+            best[:, :longest] = carried
+            for j in range(ids.shape[1]):
+                sums = best[:, j : j + longest] + gain[:, j]
+                k = sums.argmax(axis=1)  # the first of equal ones is the longest
+                best[:, longest + j] = sums[rows, k]
+                length[:, start + j + 1] = longest - k
+                piece[:, start + j + 1] = ids[rows, j, k]
+            carried = best[:, -longest:] - best[:, -1:]
+        piece[piece >= len(self.scores)] = -1
+        at = np.full(count, n)
         back: list[list[int]] = [[] for _ in words]
         while (at > 0).any():
             going = rows[at > 0]
@@ -91,7 +93,7 @@ class Vocabulary:
         parts = [[units.setdefault(u, len(units)) for u in self.units.findall(SPACE + w)] for w in words]
         distinct = list(units)
         found: list[list[int]] = [[]] * len(distinct)
-        for _, members in by_length(distinct, 1 << 18):
+        for _, members in by_length(distinct, 1 << 17):
             for i, ids in zip(members, self.viterbi([distinct[i] for i in members]), strict=True):
                 found[i] = ids
         return [[i for u in p for i in found[u]] for p in parts]
@@ -129,7 +131,12 @@ def vocabulary(path: str) -> tuple[Vocabulary, WordCodes]:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) for rows of (doc_id, text). Null and empty texts have no ids; repeated rows give repeated results."""
+    """(doc_id, ids) for rows of (doc_id, text).
+
+    Null and empty texts have no ids. Repeated rows give repeated results, an empty table an empty one. Very long
+    texts and runs without a space are encoded whole. Of segmentations with equal scores the one with the longest
+    last piece is taken, piece by piece from the end. Further columns, whatever their names, are not read.
+    """
     path = path or vocabulary_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -191,4 +198,5 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's ids, and whether they decode to its text; one row for each row."""
     return digest(table(spark, sf_dir, "documents"))

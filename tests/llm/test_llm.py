@@ -400,8 +400,7 @@ def test_forward_sums_all_segmentations():
 
     def piece(s):
         h = language_id.prefix_hashes(language_id.code_points([s], len(s)))
-        ids = table.find(h, 0, len(s))
-        return -1 if ids is None else int(ids[0])
+        return int(table.find_all(h, len(s))[0, 0]) if len(s) in table.keys else -1
 
     for word in ("the", "über", "qx日", "thern"):
         marked, total = language_id.MARK + word, np.zeros(2)
@@ -441,6 +440,45 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert sentencepiece_viterbi.digest(empty).count() == 0
 
 
+def test_sentencepiece_of_whole_texts():
+    """Whole texts score as the best path of a unigram processor with the same pieces and scores; long runs are whole too."""
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = language_id.vocabulary_path()
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(path, "rb").read())
+    proto.trainer_spec.model_type = 1
+    unigram = sp.SentencePieceProcessor()
+    unigram.LoadFromSerializedProto(proto.SerializeToString())
+    v, codes = sentencepiece_viterbi.vocabulary(path)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = [t.replace("\n", " ") for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t and "  " not in t and t == t.strip()]
+    texts = [t[: t.rfind(" ", 0, 400)] if len(t) > 400 else t for t in texts[:150]]
+    owner, w = sentencepiece_viterbi.split_words(pa.array(texts))
+    ids, at = codes.expand(owner, w, len(texts))
+    score = lambda x: sum(v.scores[i] for i in x)
+    equal = 0
+    for i, t in enumerate(texts):
+        mine, best = ids[at[i] : at[i + 1]].tolist(), unigram.nbest_encode_as_ids(t, 2)[0]
+        assert abs(score(mine) - score(best)) < 1e-3 + 1e-5 * abs(score(best)), t
+        assert score(mine) >= score(unigram.encode(t)) - 1e-3 - 1e-5 * abs(score(best))
+        equal += mine == best
+    assert equal > 100
+    rng = random.Random(8)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(700))
+    whole = v.encode_words([run])[0]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("gleaner.llm.pieces.BLOCK", 33)
+        assert score(v.encode_words([run])[0]) == score(whole)
+    best = unigram.nbest_encode_as_ids(run, 2)[0]
+    assert abs(score(whole) - score(best)) < 1e-3 + 1e-5 * abs(score(best))
+    long = run * 150
+    assert v.decode(v.encode_words([long])[0]) == long
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
@@ -565,8 +603,8 @@ def test_long_words_are_summed_whole():
 
     def find(s):
         if s not in seen:
-            ids = table.find(language_id.prefix_hashes(language_id.code_points([s], len(s))), 0, len(s))
-            seen[s] = -1 if ids is None else int(ids[0])
+            ids = table.find_all(language_id.prefix_hashes(language_id.code_points([s], len(s))), len(s)) if len(s) in table.keys else [[-1]]
+            seen[s] = int(ids[0][0])
         return seen[s]
 
     rng = random.Random(6)
@@ -576,11 +614,9 @@ def test_long_words_are_summed_whole():
         assert np.allclose(row, [exact_forward(w, probs[:, k], find) for k in (0, 1)], rtol=1e-9), len(w)
     assert np.isfinite(language_id.word_scores(["thering" * 14_286], model)).all()
     # blocks of positions change nothing
-    before, language_id.BLOCK = language_id.BLOCK, 37
-    try:
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("gleaner.llm.pieces.BLOCK", 37)
         assert np.allclose(language_id.word_scores(words, model), got, rtol=1e-12)
-    finally:
-        language_id.BLOCK = before
     # an expected count is the derivative of the log-likelihood by the log of the probability
     for w in (words[0], words[4]):
         counts = language_id.expected_counts([w], np.array([[1.0, 0.0]]), path, probs)
