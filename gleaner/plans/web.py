@@ -173,20 +173,6 @@ def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.frontier(scored, "site", "identity", "score", "ord", 10).select("site", "ord", "score", "place")
 
 
-def frontier_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers and takes in order: every fifth link is followed by a take from a queue of eight."""
-    l = links(spark, sf_dir)
-    offers = l.select(
-        U.host(F.col("url")).alias("site"), (F.col("ord") * 2).alias("ord"), F.lit("offer").alias("kind"), "url", U.job_identity(F.col("url")).alias("identity"),
-        ranking.rank_vacancy_link(F.col("url"), F.col("label"), F.col("source"))["score"].cast("double").alias("score"),
-    )
-    takes = l.where("ord % 5 = 0").select(
-        U.host(F.col("url")).alias("site"), (F.col("ord") * 2 + 1).alias("ord"), F.lit("take").alias("kind"), F.lit(None).cast("string").alias("url"),
-        F.lit(None).cast("string").alias("identity"), F.lit(0.0).alias("score"),
-    )
-    return ranking.replay_queue(offers.unionByName(takes), 8)
-
-
 def request_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's requests at least 3600 s apart."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
@@ -218,7 +204,6 @@ QUERIES = {
     "text_contacts": text_contacts,
     "merge_contacts_by_source": merge_contacts_by_source,
     "frontier_topk": frontier_topk,
-    "frontier_replay": frontier_replay,
     "request_slots": request_slots,
     "host_role_vote": host_role_vote,
 }

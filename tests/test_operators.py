@@ -101,12 +101,6 @@ def test_ranks(spark):
     assert (r.score, r.reasons, r.classification) == (15, ["tender_listing_path", "pagination"], "pagination")
 
 
-def test_queue_replay_evicts_and_claims(spark):
-    rows = [("s", 1, "offer", "u1", None, 1.0), ("s", 2, "offer", "u2", "i", 5.0), ("s", 3, "offer", "u3", "i", 7.0), ("s", 4, "offer", "u4", None, 2.0), ("s", 5, "take", None, None, 0.0), ("s", 6, "offer", "u5", "i", 9.0), ("s", 7, "take", None, None, 0.0)]
-    got = ranking.replay_queue(spark.createDataFrame(rows, "site string, ord long, kind string, url string, identity string, score double"), 2)
-    assert [(r.ord, r.url) for r in got.orderBy("ord").collect()] == [(5, "u3"), (7, "u4")]
-
-
 def test_relevance(spark):
     rows = spark.createDataFrame([(1, "Security Officer", "x", None), (2, "Onderwijsassistent", "x", None), (3, "Kok", "x", "Utrecht"), (4, None, None, None)], "id int, title string, description string, place string")
 
