@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,3 +62,107 @@ def holds_all(holdings: DataFrame, holder: str, item: str, wanted: DataFrame) ->
 def active(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     """Rows that are not soft-deleted."""
     return rows.where(F.col(deleted).isNull())
+
+
+def update_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The table after ``UPDATE ... WHERE``, and the rows it changed, as ``RETURNING`` gives them."""
+    hit = F.coalesce(condition, F.lit(False))
+    after = rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+    return after, rows.where(hit).withColumns(values)
+
+
+def delete_where(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows without those whose key stands in ``keys``; null keys delete nothing."""
+    return rows.join(keys.select(*by).distinct(), by, "left_anti").select(*rows.columns)
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], stamp: Column | None = None, stamped: str = "updated_at") -> DataFrame:
+    """``target`` with ``rows`` (one per key) put in: those of known keys replace, the others are added.
+
+    ``stamp`` is set on replaced rows only; new rows keep what they bring.
+    """
+    condition = [rows[k].eqNullSafe(target[k]) for k in keys]
+    known = target.select(*keys).distinct().withColumn("known", F.lit(True))
+    put = rows
+    if stamp is not None:
+        met = rows.join(known, [rows[k].eqNullSafe(known[k]) for k in keys], "left")
+        put = met.select(*(F.when(F.col("known"), stamp).otherwise(rows[c]).alias(c) if c == stamped else rows[c] for c in rows.columns))
+    return target.join(rows, condition, "left_anti").unionByName(put)
+
+
+def switch_package(choices: DataFrame, access: DataFrame, switches: DataFrame) -> DataFrame:
+    """Individual choices (workspace, module, choice) after workspaces change their package.
+
+    ``switches``: workspace, custom. A regular package removes the workspace's choices; the custom one keeps them and
+    makes what the old package gave (``access``: workspace, module, by_package) a choice where there was none.
+    """
+    stay = choices.join(switches.where("not custom"), "workspace", "left_anti")
+    copied = (
+        access.join(switches.where("custom").select("workspace"), "workspace", "left_semi")
+        .select("workspace", "module", F.col("by_package").alias("choice"))
+        .join(choices.where("choice is not null"), ["workspace", "module"], "left_anti")
+    )
+    return stay.where("choice is not null").unionByName(copied)
+
+
+def deviations(access: DataFrame) -> DataFrame:
+    """Per workspace: whether any choice differs from what its package gives, and those modules in order."""
+    differs = F.col("choice").isNotNull() & (F.col("choice") != F.col("by_package"))
+    return access.groupBy("workspace").agg(
+        F.bool_or(differs).alias("deviates"), F.array_sort(F.array_compact(F.collect_list(F.when(differs, F.col("module"))))).alias("modules")
+    )
+
+
+def access_changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys of both tables whose value is not the same, null and null being the same: none after a migration that keeps access."""
+    other = after.select(*keys, F.col(value).alias("after"))
+    return before.select(*keys, F.col(value).alias("before")).join(other, keys).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def optional(rows: DataFrame, column: str, wanted: object | None) -> DataFrame:
+    """All rows where nothing is wanted, else those with the value."""
+    return rows if wanted is None else rows.where(F.col(column) == F.lit(wanted))
+
+
+def visible_to(rows: DataFrame, memberships: DataFrame, user: object, by: str) -> DataFrame:
+    """The rows of groups that the user is a member of."""
+    return rows.join(memberships.where(F.col("user") == F.lit(user)).select(by), by, "left_semi")
+
+
+def unexpired(sessions: DataFrame, expires: str, now: Column) -> DataFrame:
+    return sessions.where(F.col(expires) > now)
+
+
+def sql_order(column: str, descending: bool = False) -> Column:
+    """Order with nulls as large values: last when rising, first when falling."""
+    c = F.col(column)
+    return c.desc_nulls_first() if descending else c.asc_nulls_last()
+
+
+def pending_migrations(available: DataFrame, applied: DataFrame) -> DataFrame:
+    """Versions not yet applied, with the place in which they are to run."""
+    left = available.join(applied.select("version"), "version", "left_anti")
+    return left.withColumn("place", F.row_number().over(Window.orderBy("version")))  # a list of files, not data
+
+
+def write_run(tables: dict[str, DataFrame], folder: str, run: str) -> dict[str, str]:
+    """Write all tables of a run beside the committed ones, then commit them by one marker file.
+
+    Readers take the runs that have a marker, so a run is seen whole or not at all; writing it again replaces it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    paths = {}
+    for name, rows in tables.items():
+        paths[name] = f"{folder}/{name}/run={run}"
+        rows.write.mode("overwrite").parquet(paths[name])
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/committed/{run}")
+    out = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker, True)
+    out.write(49)  # a reader leaves empty files out
+    out.close()
+    return paths
+
+
+def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of all committed runs of a table, with their ``run``."""
+    done = spark.read.format("binaryFile").load(f"{folder}/committed").select(F.regexp_extract("path", "([^/]+)$", 1).alias("run"))
+    return spark.read.parquet(f"{folder}/{name}").withColumn("run", F.col("run").cast("string")).join(done, "run", "left_semi")
