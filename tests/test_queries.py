@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from gleaner.plans import feeds, notices, records, runs, statements, stores, web
+from gleaner.plans import companies, feeds, notices, records, runs, statements, statistics, stores, web
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = {k: v for m in (records, web, stores, feeds, runs, notices, statements) for k, v in m.ORACLES.items()}
-QUERIES = {k: v for m in (records, web, stores, feeds, runs, notices, statements) for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies) for k, v in m.ORACLES.items()}
+QUERIES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies) for k, v in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
