@@ -273,20 +273,64 @@ def evolve(
 
 
 def _solutions(group: pd.DataFrame) -> tuple[list[int], list[int], list[list[list[int]]]]:
-    """Pieces, their sizes and the packings that came with them (column ``solution``; -1 holds the pieces)."""
-    own = group[group["solution"] == -1].sort_values("item")
-    items = own["item"].tolist()
+    """Pieces in order, their sizes, and the packings of the group, each of which holds all pieces."""
+    first = group[group["solution"] == group["solution"].min()].sort_values("item")
+    items = first["item"].tolist()
     place = {item: i for i, item in enumerate(items)}
     found = []
-    for _, rows in group[group["solution"] >= 0].groupby("solution"):
+    for _, rows in group.groupby("solution"):
         bins: dict[int, list[int]] = {}
         for item, b in zip(rows["item"].tolist(), rows["bin"].tolist(), strict=True):
             bins.setdefault(b, []).append(place[item])
         found.append(list(bins.values()))
-    return items, own["length"].tolist(), found
+    return items, first["length"].tolist(), found
 
 
 _STATE = "shard long, island int, solution int, item long, length long, bin int"
+_PLACED = "shard long, item long, length long, bin int, sequence_id long, offset long"
+#: Instead of a sequence's number: its bin is to be dissolved, or the shard is to be searched further.
+DISSOLVED, OPEN = -1, -2
+
+
+def _rows(packing: Packing, items: list[int]) -> dict[str, list[int]]:
+    pairs = [(i, b) for b, m in enumerate(packing.bins) for i in m]
+    return {"item": [items[i] for i, _ in pairs], "length": [packing.sizes[i] for i, _ in pairs], "bin": [b for _, b in pairs]}
+
+
+def _places(rows: pd.DataFrame, shard: int, capacity: int, level: int, last: bool) -> pd.DataFrame:
+    """``_PLACED`` of the bins of a shard that are final, and ``DISSOLVED`` for the pieces of the others."""
+    rows = rows.sort_values(["bin", "item"]).reset_index(drop=True)
+    fill = rows.groupby("bin")["length"].transform("sum")
+    offset = rows.groupby("bin")["length"].cumsum() - rows["length"]
+    final = (fill >= FULL * capacity) | last
+    sequence = (level << 58) + (shard << 24) + rows["bin"].astype("int64")
+    return pd.DataFrame(
+        {
+            "shard": shard,
+            "item": rows["item"],
+            "length": rows["length"],
+            "bin": rows["bin"],
+            "sequence_id": sequence.where(final, DISSOLVED),
+            "offset": offset.where(final, DISSOLVED),
+        }
+    )
+
+
+def _seed(capacity: int, level: int, last: bool):
+    """Best fit decreasing: where it meets the lower bound the shard is done, else its packing starts the search."""
+
+    def step(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        group = group.sort_values("item")
+        items, sizes = group["item"].tolist(), group["length"].tolist()
+        packing = Packing(sizes, capacity)
+        packing.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)))
+        rows = pd.DataFrame(_rows(packing, items))
+        if len(packing.bins) > -(-sum(sizes) // capacity):
+            return rows.assign(shard=shard, sequence_id=OPEN, offset=OPEN)
+        return _places(rows, shard, capacity, level, last)
+
+    return step
 
 
 def _epoch(number: int, capacity: int, islands: int):
@@ -294,59 +338,26 @@ def _epoch(number: int, capacity: int, islands: int):
         shard, island = int(group["shard"].iloc[0]), int(group["island"].iloc[0])
         items, sizes, start = _solutions(group)
         people = evolve(sizes, capacity, (shard * 31 + island) * 31 + number, start)
-        out = []
-        # the pieces and the two best stay; the best also goes to the next island
+        # the two best stay; the best also goes to the next island
         keep = [(island, 0, people[0]), (island, 1, people[1])]
         if islands > 1:
             keep.append(((island + 1) % islands, 2, people[0]))
-        for where, solution, p in keep:
-            numbers = [(i, b) for b, m in enumerate(p.bins) for i in m]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "shard": shard,
-                        "island": where,
-                        "solution": solution,
-                        "item": [items[i] for i, _ in numbers],
-                        "length": [sizes[i] for i, _ in numbers],
-                        "bin": [b for _, b in numbers],
-                    }
-                )
-            )
-        out.append(
-            pd.DataFrame(
-                {"shard": shard, "island": island, "solution": -1, "item": items, "length": sizes, "bin": -1}
-            )
-        )
-        return pd.concat(out)
+        return pd.concat([pd.DataFrame({"shard": shard, "island": where, "solution": n, **_rows(p, items)}) for where, n, p in keep])
 
     return step
 
 
 def _settle(capacity: int, level: int, last: bool):
-    """The best of all islands' packings of a shard: final bins, and -1 for pieces of bins to be dissolved."""
+    """The best of all islands' packings of a shard."""
 
     def step(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
         best = None
         for _, rows in group.groupby(["island", "solution"]):
             fills = rows.groupby("bin")["length"].sum().to_numpy(np.int64)
             value = (-len(fills), int((fills**2).sum()))
             if best is None or value > best[0]:
                 best = (value, rows)
-        rows = best[1].sort_values(["bin", "item"]).reset_index(drop=True)
-        fill = rows.groupby("bin")["length"].transform("sum")
-        offset = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        final = (fill >= FULL * capacity) | last
-        sequence = (level << 58) + (shard << 24) + rows["bin"].astype("int64")
-        return pd.DataFrame(
-            {
-                "item": rows["item"],
-                "length": rows["length"],
-                "sequence_id": sequence.where(final, -1),
-                "offset": offset.where(final, -1),
-            }
-        )
+        return _places(best[1], int(group["shard"].iloc[0]), capacity, level, last)
 
     return step
 
@@ -363,27 +374,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
         shards = max(1, -(-count // shard_pieces))
         last = shards == 1 or level == LEVELS - 1
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
-        state = dealt.select(
-            "shard",
-            F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"),
-            F.lit(-1).alias("solution"),
-            "item",
-            "length",
-            F.lit(-1).alias("bin"),
-        )
-        for epoch in range(EPOCHS):
-            state = state.groupBy("shard", "island").applyInPandas(_epoch(epoch, capacity, ISLANDS), _STATE)
-        found = materialize(
-            state.where("solution >= 0")
-            .groupBy("shard")
-            .applyInPandas(_settle(capacity, level, last), "item long, length long, sequence_id long, offset long"),
-            "packed",
-        )
+        found = materialize(dealt.groupBy("shard").applyInPandas(_seed(capacity, level, last), _PLACED), "seeded")
+        hard = found.where(F.col("sequence_id") == OPEN)
+        if not hard.isEmpty():
+            islands = F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island")
+            state = hard.select("shard", islands, F.lit(0).alias("solution"), "item", "length", "bin")
+            for epoch in range(EPOCHS):
+                state = state.groupBy("shard", "island").applyInPandas(_epoch(epoch, capacity, ISLANDS), _STATE)
+            searched = state.groupBy("shard").applyInPandas(_settle(capacity, level, last), _PLACED)
+            found = found.where(F.col("sequence_id") != OPEN).unionByName(materialize(searched, "searched"))
         done.append(found.where("sequence_id >= 0").select("item", "sequence_id", "offset"))
         if last:
             break
-        left = found.where("sequence_id < 0").select("item", "length")
-        before, count = count, left.count()
+        left = found.where(F.col("sequence_id") == DISSOLVED).select("item", "length")
+        count = left.count()
         if not count:
             break
     return reduce(DataFrame.unionByName, done)
