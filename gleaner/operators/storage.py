@@ -1,11 +1,16 @@
 """Tables that cut lineage, in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only a session without
-that setting (a local test) gets a temporary folder of its own.
+The folder is the session's ``spark.checkpoint.dir``. A session on a cluster
+without that setting is refused; a local one (a test) gets a folder of its own.
+What a session wrote lies in one folder of the application, which ``cleanup``
+deletes when its results are no longer read, and the end of the process anyway
+if the folder was the session's own.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,12 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     return context.getCheckpointDir().get().rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gleaner/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this application has materialised; results that read it must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gleaner/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
