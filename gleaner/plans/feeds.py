@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.functions import url as U
 from gleaner.functions.assess import assess_pages
 from gleaner.functions.page import page_facts
 from gleaner.operators.storage import new_path
@@ -42,21 +43,32 @@ def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which pages may be fetched under fixed robots rules, by host kind."""
-    p = table(spark, sf_dir, "pages")
-    status = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 7 == 0, 503).otherwise(200)
-    body = F.lit("User-agent: *\nDisallow: /en/\nDisallow: /de/1\n")
-    return p.select("page_id", feeds.robots_allow(status, body, F.col("url")).alias("allowed"))
+    """Which pages may be fetched: every fifth host has no robots file, every seventh fails, the others have rules, read once a host."""
+    p = table(spark, sf_dir, "pages").where(F.col("url").isNotNull()).select("page_id", U.host(F.col("url")).alias("host"), F.regexp_extract("url", "://[^/?#]*([^#]*)", 1).alias("path"))
+    n = F.length("host")
+    body = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: x\nUser-agent: *  # all\nDisallow: /en/\nAllow: /en/1*.html$\nDisallow: /de/1\nDisallow:\n")
+    origins = p.select("host").distinct().select("host", F.when(n % 5 == 0, 404).when(n % 7 == 0, 503).otherwise(200).alias("status"), body.alias("body"))
+    rules = feeds.robots_rules(origins, "host", "status", "body")
+    return p.join(rules, "host").select("page_id", feeds.robots_allow(F.col("rules"), F.col("path")).alias("allowed"))
+
+
+def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of part keys, and a few written long, by whether a crawler may connect to them."""
+    k = F.col("p_partkey")
+    made = F.concat_ws(".", *(((k * m) % 256).cast("string") for m in (7, 31, 3, 1)))
+    other = F.get(F.array(*(F.lit(x) for x in ("::1", "fe80::1", "2a00:1450:4001::8", "10.0.0.1", "300.1.1.1", "::ffff:8.8.8.8", "::ffff:10.1.1.1", "name", ""))), (k % 9).cast("int"))
+    address = F.when(k % 3 == 0, other).otherwise(made)
+    return table(spark, sf_dir, "part").select("p_partkey", feeds.public_address(address).alias("public"))
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of documents by source when they come as a stream, counted."""
+    """Four documents in a row are versions of one item; they come as a stream, and each is compared with the one before."""
     out, log = new_path(spark, "changes"), new_path(spark, "changes-log")
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    found = changes(docs, "source", "lang")
+    found = changes(docs.withColumn("item", F.floor(F.col("doc_id") / 4)), "item", "lang", "doc_id")
     query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).groupBy("key", "state").agg(F.count(F.lit(1)).alias("items"))
+    return spark.read.parquet(out).select(F.col("ord").alias("doc_id"), "state")
 
 
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +84,7 @@ def page_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "sitemap_links": sitemap_links,
     "robots_verdicts": robots_verdicts,
+    "public_addresses": public_addresses,
     "change_stream": change_stream,
     "page_extract": page_extract,
     "page_assessment": page_assessment,
@@ -80,6 +93,11 @@ QUERIES = {
 ORACLES = {
     "sitemap_links": """WITH p AS (SELECT page_id, url, concat_ws('-', regexp_extract(url, '://[^/]*/([a-z]{2})/', 1), CAST(page_id % 7 AS VARCHAR)) AS file FROM pages)
       SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS INTEGER) AS ord, url AS location FROM p""",
-    "robots_verdicts": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN true WHEN page_id % 7 = 0 THEN false
-      ELSE NOT regexp_matches(url, '://[^/]*/(en/|de/1)') END AS allowed FROM pages""",
+    "robots_verdicts": r"""WITH p AS (SELECT page_id, length(lower(regexp_extract(url, '://([^/?#:]*)', 1))) AS n, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS path FROM pages WHERE url IS NOT NULL)
+      SELECT page_id, CASE WHEN n % 5 = 0 THEN true WHEN n % 7 = 0 THEN NOT starts_with(path, '/') ELSE regexp_matches(path, '^/en/1.*\.html$') OR NOT regexp_matches(path, '^/(en/|de/1)') END AS allowed FROM p""",
+    "public_addresses": """WITH a AS (SELECT p_partkey, p_partkey * 7 % 256 AS a, p_partkey * 31 % 256 AS b, p_partkey * 3 % 256 AS c FROM part)
+      SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 = 6 AND false OR p_partkey % 9 IN (2, 5) ELSE NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254)
+        OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) END AS public FROM a""",
+    "change_stream": """SELECT doc_id, CASE WHEN b IS NULL THEN 'new' WHEN b IS NOT DISTINCT FROM lang THEN 'unchanged' ELSE 'changed' END AS state
+      FROM (SELECT doc_id, lang, lag(lang) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS b FROM documents)""",
 }

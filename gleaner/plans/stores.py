@@ -214,12 +214,23 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("k").alias("known"), F.sum("k").cast("bigint").alias("total"), F.max("k").alias("most"))
 
 
+#: Documents of a source are compared in ranges of doc_id of this width, so that no window grows with a source.
+RANGE = 10_000
+
+
 def content_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose content hash differs from that of the document before with the same source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
-    before = F.lag("hash").over(Window.partitionBy("source").orderBy("doc_id"))
+    """Documents whose content hash differs from that of the document before with the same source.
+
+    The first of a range looks at the last of the range before: one row a source and range.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"), F.floor(F.col("doc_id") / RANGE).alias("span"))
+    ends = d.groupBy("source", "span").agg(F.max_by("hash", "doc_id").alias("end"))
+    borders = ends.select("source", "span", F.lag("end").over(Window.partitionBy("source").orderBy("span")).alias("border"))
+    w = Window.partitionBy("source", "span").orderBy("doc_id")
+    placed = d.withColumns({"n": F.row_number().over(w), "own": F.lag("hash").over(w)}).join(borders, ["source", "span"])
+    before = F.when(F.col("n") == 1, F.col("border")).otherwise(F.col("own"))
     state = F.when(before.isNull(), F.lit("new")).when(before == F.col("hash"), F.lit("unchanged")).otherwise(F.lit("changed"))
-    return d.withColumn("state", state).groupBy("source", "state").agg(F.count(F.lit(1)).alias("documents"))
+    return placed.withColumn("state", state).groupBy("source", "state").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def query_plan_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

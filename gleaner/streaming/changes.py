@@ -21,20 +21,22 @@ def rate_limits(requests: DataFrame, key: str, at: str, window: str = "15 minute
     )
 
 
-def changes(items: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, hash, state) for every item of a stream: new, changed or unchanged against the last hash of its key."""
-    hashed = items.select(F.col(key).cast("string").alias("key"), F.sha2(content, 256).alias("hash"))
+def changes(items: DataFrame, key: str, content: str, order: str) -> DataFrame:
+    """(key, ord, hash, state) for every item of a stream: new, changed or unchanged against the last hash of its key.
+
+    ``key`` is one thing watched (a page, a record), so a state is one hash. Within a batch items count in ``order``,
+    whatever files they come from.
+    """
+    hashed = items.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), F.sha2(content, 256).alias("hash"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for rows in batches:
-            out = []
-            for h in rows["hash"]:
-                out.append((key[0], h, "new" if last is None else "unchanged" if h == last else "changed"))
-                last = h
-            yield pd.DataFrame(out, columns=["key", "hash", "state"])
-        state.update((last,))
+        rows = pd.concat(list(batches)).sort_values(["ord", "hash"], kind="stable")
+        before = rows["hash"].shift(fill_value=state.get[0] if state.exists else None)
+        rows["state"] = ["new" if b is None else "unchanged" if b == h else "changed" for b, h in zip(before, rows["hash"], strict=True)]
+        rows["key"] = key[0]
+        state.update((rows["hash"].iloc[-1],))
+        yield rows[["key", "ord", "hash", "state"]]
 
     return hashed.groupBy("key").applyInPandasWithState(
-        step, "key string, hash string, state string", "hash string", "append", GroupStateTimeout.NoTimeout
+        step, "key string, ord long, hash string, state string", "hash string", "append", GroupStateTimeout.NoTimeout
     )

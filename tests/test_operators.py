@@ -161,11 +161,11 @@ def test_cursor_stream_reads_everything_once(spark, tmp_path):
 
 
 def test_change_states(spark, tmp_path):
-    spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "k string, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    items = spark.readStream.schema("k string, v string").parquet(str(tmp_path / "in"))
-    query = changes(items, "k", "v").writeStream.format("memory").queryName("states").outputMode("append").trigger(availableNow=True).start()
+    spark.createDataFrame([("a", "1", 3), ("a", "1", 1), ("b", "2", 2), ("a", "0", 2)], "k string, v string, n int").repartition(4).write.parquet(str(tmp_path / "in"))
+    items = spark.readStream.schema("k string, v string, n int").parquet(str(tmp_path / "in"))
+    query = changes(items, "k", "v", "n").writeStream.format("memory").queryName("states").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted((r.key, r.state) for r in spark.table("states").collect()) == [("a", "new"), ("a", "unchanged"), ("b", "new")]
+    assert sorted((r.key, r.ord, r.state) for r in spark.table("states").collect()) == [("a", 1, "new"), ("a", 2, "changed"), ("a", 3, "changed"), ("b", 2, "new")]
 
 
 def test_core_names_no_domain_and_not_the_training_package():

@@ -31,3 +31,13 @@ def test_sitemaps_keep_every_page(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet/*.parquet' where page_id <> 4")
     assert sorted(map(tuple, got.where("file = 'en-3'").select("file", "ord", "location").collect())) == sorted(con.execute(feeds.ORACLES["sitemap_links"]).fetchall())
+
+
+def test_ranges_of_content_change_meet(spark, monkeypatch):
+    """Borders between ranges change nothing."""
+    from gleaner.plans import stores
+
+    said = lambda: sorted(map(tuple, stores.content_change(spark, "/root/testdata/sf0.01").collect()))
+    whole = said()
+    monkeypatch.setattr(stores, "RANGE", 7)
+    assert said() == whole
