@@ -8,9 +8,10 @@ by itself. All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import language_id, line_dedup, packing, quality_rules, simhash
-from gleaner.operators.storage import materialize
+from gleaner.operators.storage import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learned languages."""
-    model = language_id.fit(docs, ~language_id.held_out())
+    model = language_id.fit(docs, F.col("doc_id").isNotNull() & ~language_id.held_out())
     return language_id.keep_known(docs, model)
 
 
@@ -55,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+    for number, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+        if number:
+            discard(before)  # the next stage is written, so nothing reads this one any more
     return docs
