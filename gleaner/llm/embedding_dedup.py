@@ -7,9 +7,13 @@ lose no link: the squared differences over all axes sum to the squared distance
 d*d = 2 - 2*cosine, so a pair within d can miss fewer than d*d/(w*w) windows.
 Pairs that reach the count are verified by their cosine.
 
-Equal vectors are one class before any pair is formed. A label's classes are
-dealt into blocks of about ``BLOCK_ROWS``; a task compares two blocks and returns
-for each class its links and a spanning forest, never the pairs themselves.
+Equal vectors are one class before any pair is formed. The classes of a label
+with more than ``BLOCK_ROWS`` are dealt into cells of two projections, on the axes
+along which a bounded sample of vectors varies most, and cells into blocks of
+that many. Cells farther apart than a link can be long are never compared: a
+projection only shortens distances, so nothing is lost. A task compares two
+blocks and returns for each class its links and a spanning forest, never the
+pairs themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import table
 
 COSINE = 0.93
 BLOCK_ROWS = 4096
+#: Vectors, taken by hash, that the axes of the cells are fitted on; which axes they are changes no result.
+SAMPLE_VECTORS = 2000
 SEED = 42
 
 
@@ -82,7 +88,7 @@ def compare_blocks(
 def _links(cosine: float):
     def step(group: pd.DataFrame) -> pd.DataFrame:
         """Linked copies of each class here, and the smallest class of its component here."""
-        same = bool(group["i"].iloc[0] == group["j"].iloc[0])
+        same = bool(group["same"].iloc[0])
         group = group.sort_values("rep")
         left = group if same else group[group["side"] == 0]
         right = group if same else group[group["side"] == 1]
@@ -110,6 +116,73 @@ def _links(cosine: float):
     return step
 
 
+def cell_axes(classes: DataFrame, sample: int = SAMPLE_VECTORS) -> np.ndarray:
+    """(dimension, 2): orthonormal axes of greatest variance among at most ``sample`` vectors of the commonest dimension there."""
+    rows = [r.embedding for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()]
+    if not rows:
+        return basis(2)
+    size = max({len(r) for r in rows}, key=lambda n: (sum(len(r) == n for r in rows), n))
+    x = np.array([r for r in rows if len(r) == size])
+    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)
+    return axes[:2].T if size > 1 else np.array([[1.0, 0.0]])
+
+
+def cell_of(axes: np.ndarray, width: float):
+    """Column function: a vector's cell on two axes (those of a basis for vectors of another dimension)."""
+
+    @F.pandas_udf("cx int, cy int")
+    def of(vectors: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(vectors), 2), np.int64)
+        sizes = vectors.map(len).to_numpy()
+        for size in np.unique(sizes):
+            at = np.nonzero(sizes == size)[0]
+            x = _units(vectors.iloc[at])
+            own = axes if len(axes) == size else basis(int(size))[:, :2]
+            cells = np.floor((x / np.sqrt((x * x).sum(axis=1))[:, None]) @ own / width).astype(np.int64)
+            out[at, : cells.shape[1]] = cells
+        return pd.DataFrame({"cx": out[:, 0], "cy": out[:, 1]})
+
+    return of
+
+
+def near_cells(distance: float, width: float) -> list[tuple[int, int]]:
+    """Steps to the cells that hold a point within ``distance`` of some point of a cell."""
+    most = math.ceil(distance / width) + 1
+    gap = lambda step: max(0, abs(step) - 1) * width
+    return [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if gap(a) ** 2 + gap(b) ** 2 <= distance**2 * (1 + 1e-9)]
+
+
+def block_pairs(blocks: DataFrame, cosine: float, width: float) -> DataFrame:
+    """Pairs of blocks to compare, (label, axes, a, b), a before b or the same; ``blocks``: label, axes, block (cx, cy, sub).
+
+    Only blocks of near cells meet, by an equi-join on the cell.
+    """
+    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in near_cells(math.sqrt(max(0.0, 2 - 2 * cosine)), width)))
+    left = blocks.select("label", "axes", F.col("block").alias("a"), F.explode(steps).alias("step"))
+    left = left.select("label", "axes", "a", (F.col("a.cx") + F.col("step.dx")).alias("kx"), (F.col("a.cy") + F.col("step.dy")).alias("ky"))
+    right = blocks.select("label", "axes", F.col("block").alias("b"), F.col("block.cx").alias("kx"), F.col("block.cy").alias("ky"))
+    return left.join(right, ["label", "axes", "kx", "ky"]).where("a <= b").select("label", "axes", "a", "b")
+
+
+def dealt_blocks(classes: DataFrame, cosine: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (label, axes, embedding, rep, copies) with their block, and the pairs of blocks to compare.
+
+    A label that fits into one block has a single cell, so that small labels make one task.
+    """
+    width = math.sqrt(max(1e-6, 2 - 2 * cosine)) / 2
+    sizes = classes.groupBy("label", "axes").agg(F.count(F.lit(1)).alias("n"))
+    cell = F.when(F.col("n") > block_rows, cell_of(cell_axes(classes), width)(F.col("embedding")))
+    origin = F.struct(F.lit(0).alias("cx"), F.lit(0).alias("cy"))
+    placed = materialize(classes.join(sizes, ["label", "axes"]).withColumn("cell", F.coalesce(cell, origin)).drop("n"), "cells")
+    counted = placed.groupBy("label", "axes", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    named = lambda sub: F.struct(F.col("cell.cx").alias("cx"), F.col("cell.cy").alias("cy"), sub.alias("sub")).alias("block")
+    blocks = counted.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "axes", named(F.col("sub")))
+    own = placed.join(counted, ["label", "axes", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = materialize(block_pairs(blocks, cosine, width), "block-pairs")
+    return own.select("label", "axes", named(F.col("sub")), "rep", "copies", "embedding"), pairs
+
+
 def usable(vector: Column) -> Column:
     """True for a vector without null or non-finite components that is not zero."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -125,6 +198,8 @@ def near_duplicates(
     zero or hold null or non-finite components, and those without label or vec_id,
     link with nothing and are their own component. Equal vectors of a label link
     with each other. Repeated rows give repeated results and count once as a link.
+    Very long vectors are compared whole; a cosine of just the limit is a link. An
+    empty table gives an empty one; further columns, whatever their names, are not read.
     """
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where("vec_id is not null and label is not null").where(usable(F.col("embedding")))
@@ -132,31 +207,14 @@ def near_duplicates(
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")),
         "vectors",
     )
-    sizes = materialize(
-        reps.groupBy("label", F.size("embedding").alias("axes"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("label", "axes", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")),
-        "blocks",
-    )
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        reps.withColumn("axes", F.size("embedding"))
-        .join(sizes, ["label", "axes"])
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "label",
-            "axes",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-            "rep",
-            "copies",
-            "embedding",
-        )
+    members, pairs = dealt_blocks(reps.withColumn("axes", F.size("embedding")), cosine, block_rows)
+    fields = ["label", "axes", "a", "b", (F.col("a") == F.col("b")).alias("same")]
+    sent = lambda side, of: members.join(of.withColumn("block", F.col("ab"[side])), ["label", "axes", "block"]).select(
+        *fields, F.lit(side).alias("side"), "rep", "copies", "embedding"
     )
+    both = sent(0, pairs).unionByName(sent(1, pairs.where("a <> b")))
     links = materialize(
-        dealt.groupBy("label", "axes", "i", "j").applyInPandas(_links(cosine), "rep long, linked long, root long"), "links"
+        both.groupBy("label", "axes", "a", "b").applyInPandas(_links(cosine), "rep long, linked long, root long"), "links"
     )
     components = connected_components(links, "rep", "root")
     totals = links.groupBy(F.col("rep").alias("linked_rep")).agg(F.sum("linked").alias("linked"))
@@ -185,4 +243,5 @@ def near_duplicates(
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, one row for each row of ``embeddings``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

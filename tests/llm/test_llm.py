@@ -498,6 +498,34 @@ def test_embeddings(spark):
                 i = r.vec_id
                 assert (r.n_links, r.component_id, r.kept) == ((links[i], want[i], want[i] == i) if i < 900 else (0, i, True)), i
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 as rep", "2 as copies", "3 as axes", "4 as block", "5 as component", "6 as node")
+    assert sorted(map(repr, embedding_dedup.near_duplicates(clash).collect())) == sorted(map(repr, embedding_dedup.near_duplicates(df).collect()))
+
+
+@pytest.mark.parametrize("spread", ["random", "clustered"])
+def test_cells_lose_no_link(spark, spread):
+    """All links of one large label through many small blocks; clustered vectors leave most pairs of blocks unformed."""
+    rng = np.random.default_rng(3)
+    n, size = 1200, 32
+    if spread == "random":
+        base = rng.standard_normal((n // 2, size))
+        x = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.3])
+    else:
+        x = np.repeat(rng.standard_normal((6, size)), n // 6, axis=0) + rng.standard_normal((n, size)) * 0.12
+    rows = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block_rows=50).collect()}
+    want = components(range(n), list(zip(*np.nonzero(np.triu(linked)), strict=True)))
+    assert linked.sum() > 100 and all((got[i].n_links, got[i].component_id) == (linked[i].sum(), want[i]) for i in range(n))
+    classes = df.selectExpr("label", "size(embedding) as axes", "embedding", "vec_id as rep", "1L as copies")
+    members, pairs = embedding_dedup.dealt_blocks(classes, 0.93, 50)
+    blocks = members.select("block").distinct().count()
+    formed = pairs.count() / (blocks * (blocks + 1) / 2)
+    print(f"{spread}: {formed:.2f} of {blocks} blocks' pairs formed")
+    assert spread == "random" or formed < 0.5
 
 
 def test_urls(spark):
