@@ -231,8 +231,10 @@ def verdict(rules: list[list[Test]], c: Callable[[str], Column] = F.col) -> Colu
 def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """One row per document: its counts, ``base_failed`` and ``kept``.
 
-    A null text has zero words, so it fails the base. Repeated rows give
-    repeated results. Further columns of ``docs`` are not read.
+    A null text has zero words, so it fails the base. Very long texts are counted
+    whole. Values at a threshold are on its lower side. Repeated rows give repeated
+    results, an empty table an empty one. Further columns of ``docs``, whatever
+    their names, are not read.
     """
     stats = docs.select("doc_id", text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
     return stats.withColumn("base_failed", base_failed()).withColumn(
@@ -250,6 +252,7 @@ def keep_good(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, one row for each row."""
     docs = table(spark, sf_dir, "documents")
     out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select(

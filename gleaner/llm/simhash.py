@@ -100,7 +100,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     representative; links are sought between representatives only. Null and
     empty texts share fingerprint zero and are linked like any other. A row
     without doc_id has a fingerprint and a null component. Repeated rows give
-    repeated results; an empty table gives an empty one.
+    repeated results; an empty table gives an empty one. Very long texts are hashed
+    whole, in bounded pieces; a bit set in just half the hashes is 0. Further
+    columns, whatever their names, are not read.
     """
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     reps = materialize(
@@ -128,6 +130,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, one row for each row."""
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
