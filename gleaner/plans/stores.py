@@ -11,7 +11,6 @@ from gleaner.functions.text import dedupe_key, tokens_of
 from gleaner.operators import matching, store
 from gleaner.operators.components import connected_components
 from gleaner.operators.relevance import Query, keyword_hits, with_relevance
-from gleaner.sources.planning import company_queries, tender_queries
 
 from .tables import FACTS_SQL, document_facts, table
 
@@ -233,13 +232,6 @@ def content_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("state", state).groupBy("source", "state").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def query_plan_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search texts for two requests."""
-    rows = [("tender", q) for q in tender_queries("schoonmaak", ["glasbewassing", "kantoor"], "Utrecht", 8)] + [("company", q) for q in company_queries(["drukwerk"], ["zorg"], "Utrecht")]
-    texts = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("place"), F.lit(q).alias("query")) for i, (k, q) in enumerate(rows)))
-    return spark.range(1).select(F.inline(texts))
-
-
 QUERIES = {
     "add_missing_sources": add_missing_sources,
     "observe_in_run": observe_in_run,
@@ -264,7 +256,6 @@ QUERIES = {
     "opportunity_status": opportunity_status,
     "props_json": props_json,
     "content_change": content_change,
-    "query_plan_expansion": query_plan_expansion,
 }
 
 _STOP = "('en', 'of', 'de', 'het', 'een', 'in', 'op', 'voor', 'van', 'the', 'and', 'or', 'for', 'to', 'at')"

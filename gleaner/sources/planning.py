@@ -4,42 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: What a search for tenders asks for, in turn in both languages.
-INTENTS = {"nl": ["aanbesteding", "tender", "uitvraag", "marktconsultatie"], "en": ["tender", "procurement", "request for proposal", "invitation to tender"]}
-MOST_QUERIES = 8
 MOST_PREFIXES = 50
 
 
-def _distinct(texts: list[str], most: int) -> list[str]:
-    return list(dict.fromkeys(" ".join(t.split()) for t in texts if t.strip()))[:most]
-
-
-def tender_queries(branch: str, keywords: list[str], region: str | None, most: int, languages: tuple[str, ...] = ("nl", "en")) -> list[str]:
-    """Intents with subjects and region, languages interleaved, each text once."""
-    subjects = [" ".join(filter(None, [branch, k])) for k in keywords] or [branch]
-    rounds = max(len(INTENTS[x]) for x in languages)
-    texts = [
-        " ".join(filter(None, [INTENTS[x][i], s, region]))
-        for i in range(rounds)
-        for s in subjects
-        for x in languages
-        if i < len(INTENTS[x])
-    ]
-    return _distinct(texts, most)
-
-
-def company_queries(subjects: list[str], sectors: list[str], region: str | None) -> list[str]:
-    """Up to eight angles on companies that offer ``subjects`` to ``sectors``."""
-    texts = []
-    for s in subjects:
-        texts += [f"{s} bedrijf {region or ''}", f"{s} leverancier {region or ''}", f"{s} specialist {region or ''}"]
-        texts += [f"{s} voor {x} {region or ''}" for x in sectors]
-    texts += [f"leverancier {x} {region or ''}" for x in sectors]
-    return _distinct(texts, MOST_QUERIES)
+def branch_query(branch: str, keywords: str | None, region: str | None) -> str:
+    """The request's own words in the order typed; a web search has no other place for the region."""
+    return " ".join(x for x in (branch.strip(), (keywords or "").strip(), (region or "").strip()) if x)
 
 
-def branch_query(branch: str, keywords: str | None, region: str | None) -> str:
-    return " ".join(filter(None, [branch.strip(), (keywords or "").strip(), "vacature", (region or "").strip()]))
+def job_board_term(branch: str, keywords: str | None) -> str:
+    """As ``branch_query``, without the region, for which a job board has a parameter."""
+    return branch_query(branch, keywords, None)
 
 
 def category_prefixes(codes: list[str]) -> list[str]:

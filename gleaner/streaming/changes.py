@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,3 +40,12 @@ def changes(items: DataFrame, key: str, content: str, order: str) -> DataFrame:
     return hashed.groupBy("key").applyInPandasWithState(
         step, "key string, ord long, hash string, state string", "hash string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def write_once(folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch has a folder of its own, so one that is written again after a failure replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write

@@ -14,7 +14,7 @@ from gleaner.operators.components import connected_components
 from gleaner.operators.relevance import Query, with_relevance
 from gleaner.operators.scoring import Rule, score
 from gleaner.sources.cursor import Batch, CursorSource, walk
-from gleaner.sources.planning import category_prefixes, run_budget, select_sources, tender_queries
+from gleaner.sources.planning import branch_query, category_prefixes, job_board_term, run_budget, select_sources
 from gleaner.streaming.changes import changes
 
 
@@ -144,7 +144,7 @@ def test_walk_limits():
 
 
 def test_planning():
-    assert tender_queries("x", ["a"], None, 2) == ["aanbesteding x a", "tender x a"]
+    assert branch_query(" zorg ", "nacht", "Utrecht") == "zorg nacht Utrecht" and job_board_term("zorg", " ") == "zorg"
     assert category_prefixes(["45000000", "45100000"]) == ["45", "451"]
     assert run_budget(10).pages == 30 and run_budget(1000).target == 100
     assert select_sources({"a": ["wide"], "b": ["narrow"]}, "wide", ["b", "z"]).unknown == ["z"]
