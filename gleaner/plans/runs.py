@@ -121,11 +121,9 @@ ORACLES = {
       v AS (SELECT *, CASE WHEN least(a, s, l) = 2 THEN 'confirmed' WHEN greatest(a, s) = 0 THEN 'insufficient' ELSE 'possible' END AS status FROM k)
       SELECT company, status, pages, first_page FROM v WHERE status <> 'insufficient' ORDER BY status, pages DESC, company LIMIT 100""",
     "activity_merge": """
-      WITH f AS (SELECT l_suppkey, l_returnflag AS activity, l_orderkey, max(l_quantity) FILTER (l_linestatus = 'F') AS qs, max(l_quantity) FILTER (l_linestatus = 'O') AS qn FROM lineitem GROUP BY 1, 2, 3),
-      s AS (SELECT l_suppkey, activity, list(l_orderkey ORDER BY l_orderkey) AS e, CASE WHEN max(qs) > 30 THEN 'strong' ELSE 'weak' END AS st
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, activity ORDER BY l_orderkey) AS n FROM f WHERE qs IS NOT NULL) WHERE n <= 3 GROUP BY 1, 2),
-      n AS (SELECT l_suppkey, activity, list(l_orderkey ORDER BY l_orderkey) AS e, CASE WHEN max(qn) > 30 THEN 'strong' ELSE 'weak' END AS st
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, activity ORDER BY l_orderkey) AS n FROM f WHERE qn IS NOT NULL) WHERE n <= 3 GROUP BY 1, 2)
+      WITH f AS (SELECT l_suppkey, l_returnflag AS activity, l_linestatus AS ls, l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3, 4),
+      g AS (SELECT l_suppkey, activity, ls, (list(l_orderkey ORDER BY q DESC NULLS LAST, l_orderkey))[1:3] AS e, CASE WHEN max(q) > 30 THEN 'strong' ELSE 'weak' END AS st FROM f GROUP BY 1, 2, 3),
+      s AS (SELECT * FROM g WHERE ls = 'F'), n AS (SELECT * FROM g WHERE ls = 'O')
       SELECT coalesce(s.l_suppkey, n.l_suppkey) AS l_suppkey, coalesce(s.activity, n.activity) AS activity,
         CASE WHEN s.st IS NULL THEN n.st WHEN n.st IS NULL THEN s.st WHEN n.st = 'strong' OR list_has_all(n.e, s.e) THEN n.st ELSE s.st END AS strength,
         array_to_string(list_slice(list_concat(coalesce(s.e, []), list_filter(coalesce(n.e, []), lambda x: NOT list_contains(coalesce(s.e, []), x))), 1, 5), ',') AS evidence
