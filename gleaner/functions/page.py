@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -82,17 +83,15 @@ def parse(html: str | None) -> Node:
 
 def json_ld(root: Node, kind: str) -> list[dict]:
     """All objects of a type in the page's linked data, nested graphs included."""
-    found, waiting = [], []
+    found, waiting = [], deque()
     for n in root.find_all("script"):
         if "ld+json" in n.attrs.get("type", ""):
             try:
                 waiting.append(json.loads("".join(c for c in n.children if isinstance(c, str))))
             except ValueError:
                 continue
-    steps = 0
-    while waiting and steps < 2000:
-        steps += 1
-        x = waiting.pop(0)
+    while waiting:
+        x = waiting.popleft()
         if isinstance(x, list):
             waiting += x
         elif isinstance(x, dict):

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def free_name(base: str, *tables: DataFrame) -> str:
+    """``base``, with as many underscores behind it as make it a name that no table has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def fill_missing(primary: DataFrame, secondary: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Each field of ``primary``, or where it is null that of the row of ``secondary`` with the same key."""
-    other = secondary.select(F.col(key).alias("_key"), *(F.col(f).alias(f"_{f}") for f in fields))
-    joined = primary.join(other, F.col(key) == F.col("_key"), "left")
-    filled = joined.withColumns({f: F.coalesce(f, f"_{f}") for f in fields})
-    return filled.select(*primary.columns)
+    other = free_name("other", primary)
+    joined = primary.join(secondary.select(F.struct(key, *fields).alias(other)), F.col(key) == F.col(other)[key], "left")
+    return joined.select(*(F.coalesce(F.col(c), F.col(other)[c]).alias(c) if c in fields else F.col(c) for c in primary.columns))
 
 
 def latest_non_null(rows: DataFrame, keys: list[str], order: Column, picked: list[str], latest: list[str]) -> DataFrame:
@@ -39,19 +46,22 @@ def split_upsert(stored: DataFrame, incoming: DataFrame, key: str, fields: list[
     Of stored rows with one key the first counts, or the last. Fields that come
     as null keep what is stored.
     """
+    row, action, place = free_name("known", incoming), free_name("action", incoming), free_name("stored_order", incoming)
+    number = free_name("number", stored)
     by = F.col(order).desc() if last_stored_wins else F.col(order).asc()
     kept = (
-        stored.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(by)))
-        .where("_n = 1")
-        .select(F.col(key).alias("_key"), F.col(order).alias("stored_order"), *(F.col(f).alias(f"_{f}") for f in fields))
+        stored.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(by)))
+        .where(F.col(number) == 1)
+        .select(F.struct(F.col(key).alias("key"), F.col(order).alias("order"), F.struct(*fields).alias("fields")).alias(row))
     )
-    joined = incoming.join(kept, F.col(key) == F.col("_key"), "left")
+    known = F.col(row)
+    joined = incoming.join(kept, F.col(key) == known["key"], "left")
     differs = F.lit(False)
     for f in fields:
-        differs = differs | (F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{f}")))
-    action = F.when(F.col("_key").isNull(), F.lit("new")).when(differs, F.lit("updated")).otherwise(F.lit("unchanged"))
-    merged = {f: F.coalesce(f, f"_{f}") for f in fields}
-    return joined.withColumn("action", action).withColumns(merged).select(*incoming.columns, "action", "stored_order")
+        differs = differs | (F.col(f).isNotNull() & ~F.col(f).eqNullSafe(known["fields"][f]))
+    what = F.when(known["key"].isNull(), F.lit("new")).when(differs, F.lit("updated")).otherwise(F.lit("unchanged"))
+    merged = [F.coalesce(F.col(c), known["fields"][c]).alias(c) if c in fields else F.col(c) for c in incoming.columns]
+    return joined.select(*merged, what.alias(action), known["order"].alias(place))
 
 
 def apply_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
