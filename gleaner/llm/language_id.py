@@ -102,7 +102,7 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     probs, longest = _with_floor(model.probs), tab.longest
     out = np.zeros((len(words), len(model.langs)))
     marked = [MARK + w for w in words]
-    for n, members in by_length(marked, 1 << 17):
+    for n, members in by_length(marked, 1 << 16):
         hashes = prefix_hashes(code_points([marked[i] for i in members], n))
         scale = np.zeros((len(members), probs.shape[1]))
         carried = np.zeros((len(members), longest, probs.shape[1]))
