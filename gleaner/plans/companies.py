@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import url as U
 from gleaner.operators import companies as C
+from gleaner.operators.vocabulary import interpret
 
 from .tables import table
 
@@ -146,9 +147,24 @@ def criterion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", activity.alias("activity"), place.alias("place"))
 
 
+TERMS = [("zorg", "zorginstelling", "customer_sector"), ("zorg software", "zorgsoftware", "product"), ("school", "onderwijs", "customer_sector"), ("beveiligingscamera", "cctv", "product"), ("Utrecht", "NL-UT", "place")]
+
+
+def interpreted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in plain words: terms with endings and tails, the longer before the shorter, exclusions and what is left."""
+    terms = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(t, ("term", "concept", "kind"), strict=True))) for t in TERMS))))
+    n = F.col("p_partkey")
+    text = F.concat(_pick(n % 4, "Leveranciers van zorg software voor scholen", "Zorg en schools, zorg!", "beveiligingscamerasysteem voor zorgs", "iets anders"), _pick(n % 3, "", ", geen kleine aannemers, Utrecht", " zonder school. 2026"))
+    requests = table(spark, sf_dir, "part").select("p_partkey", text.alias("said"))
+    found = interpret(requests, "p_partkey", "said", terms)
+    told = F.transform("criteria", lambda c: F.concat_ws(":", c["kind"], c["concept"]))
+    return found.select("p_partkey", F.array_join(told, ",").alias("criteria"), F.array_join("exclusions", ",").alias("exclusions"), F.array_join("unrecognized", ",").alias("unrecognized"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        interpreted_requests,
         company_hosts, company_activities, company_profile, company_business_types, company_flags, company_filter, company_facets, concept_expansion, concept_scan, criterion_matches,
     )
 }
@@ -190,6 +206,10 @@ ORACLES = {
       (['beveiligingscamera,camerabeveiliging', 'onderwijs,school', 'hekwerk', 'zorg', 'beveiligingscamera,camerabeveiliging', 'kerk'])[CAST(p_partkey % 6 AS INTEGER) + 1] AS terms FROM part""",
     "concept_scan": """SELECT p_partkey AS ord, concat_ws(',', CASE WHEN p_partkey % 4 = 2 THEN 'beveiligingscamera' END, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 1 THEN 'zorg software' END,
       CASE WHEN p_partkey % 3 = 1 THEN 'school,zorg' END) AS found FROM part""",
+    "interpreted_requests": """WITH b AS (SELECT p_partkey, (['product:zorgsoftware', 'customer_sector:zorginstelling,customer_sector:onderwijs', 'product:cctv', ''])[CAST(p_partkey % 4 AS INTEGER) + 1] AS c,
+        (['leveranciers,scholen', '', 'zorgs', 'iets,anders'])[CAST(p_partkey % 4 AS INTEGER) + 1] AS u FROM part)
+      SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN concat_ws(',', nullif(c, ''), 'place:NL-UT') ELSE c END AS criteria,
+        (['', 'kleine aannemers', 'school'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS exclusions, u AS unrecognized FROM b""",
     "criterion_matches": """WITH s AS (SELECT s_suppkey, s_suppkey AS n FROM supplier)
       SELECT s_suppkey, CASE n % 3 WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 'confirmed' ELSE 'possible' END WHEN 1 THEN 'possible' ELSE CASE WHEN n % 7 = 0 THEN 'possible' ELSE 'insufficient' END END AS activity,
         CASE WHEN n % 5 = 0 OR n % 8 = 0 THEN 'confirmed' WHEN n % 6 IN (1, 2) THEN 'possible' ELSE 'insufficient' END AS place FROM s""",
