@@ -3,15 +3,15 @@
 Unit vectors are projected on the axes of a random orthonormal basis and sorted
 along each. A query's window on an axis holds the vectors within ``w`` of it, and
 a pair's collisions are the windows it shares. The count needed is calibrated to
-lose no link: the squared differences over all axes sum to the squared distance
-d*d = 2 - 2*cosine, so a pair within d can miss fewer than d*d/(w*w) windows.
-Pairs that reach the count are verified by their cosine.
+lose no link: the squared differences over any axes sum to at most the squared
+distance d*d = 2 - 2*cosine, so a pair within d can miss fewer than d*d/(w*w)
+windows. Pairs that reach the count are verified by their cosine.
 
 Equal vectors are one class before any pair is formed. The classes of a label
 with more than ``BLOCK_ROWS`` are dealt into cells of two projections, on the axes
-along which a bounded sample of vectors varies most, and cells into blocks of
-that many. Cells farther apart than a link can be long are never compared: a
-projection only shortens distances, so nothing is lost. A task compares two
+along which a bounded sample of vectors varies most, and runs of cells into
+blocks of about that many. Blocks farther apart than a link can be long are never
+compared: a projection only shortens distances, so nothing is lost. A task compares two
 blocks and returns for each class its links and a spanning forest, never the
 pairs themselves.
 """
@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleaner.operators.components import connected_components
 from gleaner.operators.storage import materialize
@@ -35,6 +36,8 @@ BLOCK_ROWS = 4096
 #: Vectors, taken by hash, that the axes of the cells are fitted on; which axes they are changes no result.
 SAMPLE_VECTORS = 2000
 SEED = 42
+#: Axes that windows are counted on, and queries that are counted at once.
+COUNTED, TOGETHER = 32, 32
 
 
 def basis(dimension: int, seed: int = SEED) -> np.ndarray:
@@ -44,8 +47,8 @@ def basis(dimension: int, seed: int = SEED) -> np.ndarray:
 
 
 def calibrate(axes: int, cosine: float) -> tuple[float, int]:
-    """Half-width of a window, and the collisions that every pair of at least ``cosine`` has."""
-    misses = axes // 4
+    """Half-width of a window, and the collisions on ``axes`` axes that every pair of at least ``cosine`` has."""
+    misses = 3 * axes // 8
     distance = math.sqrt(max(0.0, 2 - 2 * cosine))
     return distance / math.sqrt(misses + 1) * (1 + 1e-9) + 1e-9, axes - misses
 
@@ -57,31 +60,45 @@ def _units(vectors: pd.Series) -> np.ndarray:
 def compare_blocks(
     x: np.ndarray, y: np.ndarray, cosine: float, same: bool, window: float | None = None
 ) -> list[tuple[int, np.ndarray]]:
-    """For each row of ``x`` with links: the rows of ``y`` it is linked with (later ones only if ``same``)."""
+    """For each row of ``x`` with links: the rows of ``y`` it is linked with (later ones only if ``same``).
+
+    A window is a run of places on a sorted axis, so a collision is one comparison of places.
+    """
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-    turn = basis(x.shape[1])
-    half, needed = calibrate(x.shape[1], cosine)
+    axes = min(COUNTED, x.shape[1])
+    turn = basis(x.shape[1])[:, :axes]
+    half, needed = calibrate(axes, cosine)
     half = half if window is None else window
     px, py = (x / nx[:, None]) @ turn, (y / ny[:, None]) @ turn
-    order = np.argsort(py, axis=0, kind="stable")
-    low, high = np.empty(px.shape, np.int64), np.empty(px.shape, np.int64)
-    for j in range(px.shape[1]):
-        axis = py[order[:, j], j]
-        low[:, j] = np.searchsorted(axis, px[:, j] - half, "left")
-        high[:, j] = np.searchsorted(axis, px[:, j] + half, "right")
-    columns = [np.ascontiguousarray(order[:, j]) for j in range(px.shape[1])]
+    kind = np.uint16 if len(y) < 1 << 16 else np.uint32
+    places = np.empty((axes, len(y)), kind)
+    low, wide = np.empty((len(x), axes), kind), np.empty((len(x), axes), kind)
+    for j in range(axes):
+        order = np.argsort(py[:, j], kind="stable")
+        places[j, order] = np.arange(len(y), dtype=kind)
+        line = py[order, j]
+        low[:, j] = np.searchsorted(line, px[:, j] - half, "left")
+        wide[:, j] = np.searchsorted(line, px[:, j] + half, "right") - low[:, j]
     found = []
-    for i in range(len(x)):
-        hits = np.zeros(len(y), np.int16)
-        for j, column in enumerate(columns):
-            hits[column[low[i, j] : high[i, j]]] += 1
-        if same:
-            hits[: i + 1] = 0
-        close = np.nonzero(hits >= needed)[0]
-        if len(close):
-            close = close[(y[close] * x[i]).sum(axis=1) / (ny[close] * nx[i]) >= cosine]
-        if len(close):
-            found.append((i, close))
+    hits = np.empty((TOGETHER, len(y)), np.uint8)
+    apart = np.empty((TOGETHER, len(y)), kind)
+    inside = np.empty((TOGETHER, len(y)), bool)
+    for start in range(0, len(x), TOGETHER):
+        n = min(TOGETHER, len(x) - start)
+        hits[:n] = 0
+        for j in range(axes):
+            # places before the window wrap around to large numbers
+            np.subtract(places[j], low[start : start + n, j, None], out=apart[:n])
+            np.less(apart[:n], wide[start : start + n, j, None], out=inside[:n])
+            hits[:n] += inside[:n].view(np.uint8)
+        for i in range(start, start + n):
+            close = np.nonzero(hits[i - start] >= needed)[0]
+            if same:
+                close = close[close > i]
+            if len(close):
+                close = close[(y[close] @ x[i]) / (ny[close] * nx[i]) >= cosine]
+            if len(close):
+                found.append((i, close))
     return found
 
 
@@ -146,28 +163,26 @@ def cell_of(axes: np.ndarray, width: float):
     return of
 
 
-def near_cells(distance: float, width: float) -> list[tuple[int, int]]:
-    """Steps to the cells that hold a point within ``distance`` of some point of a cell."""
-    most = math.ceil(distance / width) + 1
-    gap = lambda step: max(0, abs(step) - 1) * width
-    return [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if gap(a) ** 2 + gap(b) ** 2 <= distance**2 * (1 + 1e-9)]
-
-
-def block_pairs(blocks: DataFrame, cosine: float, width: float) -> DataFrame:
-    """Pairs of blocks to compare, (label, axes, a, b), a before b or the same; ``blocks``: label, axes, block (cx, cy, sub).
+def block_pairs(runs: DataFrame, cosine: float, width: float) -> DataFrame:
+    """Pairs of blocks to compare, (label, axes, a, b), a before b or the same.
 
-    Only blocks of near cells meet, by an equi-join on the cell.
+    ``runs``: label, axes, run, subs and the cells x0 to x1 and y0 to y1 that it spans. A label has no more runs than
+    cells, whose number depends on the cosine only; a run of one full cell has as many blocks (``subs``) as it needs.
     """
-    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in near_cells(math.sqrt(max(0.0, 2 - 2 * cosine)), width)))
-    left = blocks.select("label", "axes", F.col("block").alias("a"), F.explode(steps).alias("step"))
-    left = left.select("label", "axes", "a", (F.col("a.cx") + F.col("step.dx")).alias("kx"), (F.col("a.cy") + F.col("step.dy")).alias("ky"))
-    right = blocks.select("label", "axes", F.col("block").alias("b"), F.col("block.cx").alias("kx"), F.col("block.cy").alias("ky"))
-    return left.join(right, ["label", "axes", "kx", "ky"]).where("a <= b").select("label", "axes", "a", "b")
+    at = lambda side: [F.col(c).alias(f"{side}{c}") for c in ("run", "subs", "x0", "x1", "y0", "y1")]
+    both = runs.select("label", "axes", *at("a")).join(runs.select("label", "axes", *at("b")), ["label", "axes"]).where("arun <= brun")
+    gap = lambda c: F.greatest(F.lit(0), F.col(f"a{c}0") - F.col(f"b{c}1") - 1, F.col(f"b{c}0") - F.col(f"a{c}1") - 1) * width
+    near = both.where(gap("x") * gap("x") + gap("y") * gap("y") <= (2 - 2 * cosine) * (1 + 1e-9))
+    subs = lambda side: F.sequence(F.lit(0), F.col(f"{side}subs") - 1)
+    each = near.withColumn("asub", F.explode(subs("a"))).withColumn("bsub", F.explode(subs("b"))).where("arun < brun or asub <= bsub")
+    block = lambda side: F.struct(F.col(f"{side}run").alias("run"), F.col(f"{side}sub").alias("sub")).alias(side)
+    return each.select("label", "axes", block("a"), block("b"))
 
 
 def dealt_blocks(classes: DataFrame, cosine: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """The classes (label, axes, embedding, rep, copies) with their block, and the pairs of blocks to compare.
 
+    Cells in order are put together into runs of about ``block_rows``; a fuller cell is a run by itself, dealt by hash.
     A label that fits into one block has a single cell, so that small labels make one task.
     """
     width = math.sqrt(max(1e-6, 2 - 2 * cosine)) / 2
@@ -175,12 +190,19 @@ def dealt_blocks(classes: DataFrame, cosine: float, block_rows: int) -> tuple[Da
     cell = F.when(F.col("n") > block_rows, cell_of(cell_axes(classes), width)(F.col("embedding")))
     origin = F.struct(F.lit(0).alias("cx"), F.lit(0).alias("cy"))
     placed = materialize(classes.join(sizes, ["label", "axes"]).withColumn("cell", F.coalesce(cell, origin)).drop("n"), "cells")
-    counted = placed.groupBy("label", "axes", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    named = lambda sub: F.struct(F.col("cell.cx").alias("cx"), F.col("cell.cy").alias("cy"), sub.alias("sub")).alias("block")
-    blocks = counted.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "axes", named(F.col("sub")))
-    own = placed.join(counted, ["label", "axes", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = materialize(block_pairs(blocks, cosine, width), "block-pairs")
-    return own.select("label", "axes", named(F.col("sub")), "rep", "copies", "embedding"), pairs
+    counted = placed.groupBy("label", "axes", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "axes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = F.col("n") > block_rows
+    # full cells take the odd numbers of their own, the others share the even ones
+    run = F.when(full, 2 * F.col("before") + 1).otherwise(2 * block_rows * F.floor(F.col("before") / block_rows))
+    cells = materialize(counted.withColumn("before", before).select("label", "axes", "cell", "n", run.alias("run")), "runs")
+    corners = [f("cell." + c).alias(n) for f, c, n in ((F.min, "cx", "x0"), (F.max, "cx", "x1"), (F.min, "cy", "y0"), (F.max, "cy", "y1"))]
+    subs = F.when(F.col("run") % 2 == 1, F.ceil(F.sum("n") / block_rows)).otherwise(1).cast("int")
+    runs = cells.groupBy("label", "axes", "run").agg(subs.alias("subs"), *corners)
+    pairs = materialize(block_pairs(runs, cosine, width), "block-pairs")
+    own = placed.join(cells.join(runs.select("label", "axes", "run", "subs"), ["label", "axes", "run"]), ["label", "axes", "cell"])
+    block = F.struct("run", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int").alias("sub")).alias("block")
+    return own.select("label", "axes", block, "rep", "copies", "embedding"), pairs
 
 
 def usable(vector: Column) -> Column:
