@@ -93,6 +93,7 @@ def registrable_domain(name: Column) -> Column:
 def link_priority(where: Column, label: Column, extra: list[tuple[str, int]] = ()) -> Column:
     """Tier of a link by its folded path and label, lowest first; 10 for a link that no tier names."""
     text = F.concat_ws(" ", where, label)
+    # fixed values: words of a tier and its number, in order of precedence
     tiers = [
         ("contact(?:-us|ez-nous)?", 0),
         (r"about|a[-_\s]?propos", 1),
