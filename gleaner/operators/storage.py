@@ -61,11 +61,11 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete the files of a materialised table that nothing reads any more, or of the parts of it that ``part`` names."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/gleaner/" in folder:
+        if "/gleaner/" in folder and part in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
