@@ -18,6 +18,9 @@ CONTRACTS = {
     "op8_html_text": ("pages", {"page_id": LONG, "url": STRING, "text": STRING, "n_chars": LONG}),
     "op9_url_filter": ("pages", {"page_id": LONG, "host": STRING, "path": STRING, "rule": STRING, "verdict": STRING}),
     "op10_quality_rules": ("documents", {"doc_id": LONG, "n_words": LONG, "word_chars": LONG, "n_symbols": LONG, "n_dup_lines": LONG, "n_repeat_words": LONG, "base_failed": BOOLEAN, "kept": BOOLEAN}),
+    "op11_importance_resampling": ("documents", {"doc_id": LONG, "n_features": LONG, "weight": LONG, "score": LONG, "rank": LONG}),
+    "op12_exact_dedup": ("documents", {"doc_id": LONG, "keep_id": LONG, "group_size": LONG, "kept": BOOLEAN, "text_sha256": STRING}),
+    "op13_token_alignment": ("documents", {"doc_id": LONG, "n_a": LONG, "n_b": LONG, "n_groups": LONG, "n_links": LONG, "n_best": LONG, "count_sum": LONG, "groups_sha256": STRING}),
 }
 SAME = "a line that two texts share here\nand one more"
 TEXTS = [None, "", " \n\t", "one", SAME, SAME, SAME.upper(), "é" * 5000, "the and of " * 4000, "Licensed under the Apache License, Version 2.0."]
@@ -37,6 +40,7 @@ def write(spark, folder, rows):
         "pages": extra(spark.createDataFrame(pages, "page_id long, url string, html string")),
         "embeddings": extra(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")),
         "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        "benchmark": extra(spark.createDataFrame([(1, SAME), (2, None), (None, "")] if rows else [], "item_id long, text string")),
     }
     for name, df in made.items():
         df.write.parquet(f"{folder}/{name}.parquet")
