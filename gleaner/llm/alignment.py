@@ -16,8 +16,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,12 @@ from gleaner.operators.storage import materialize
 
 from .common import table
 from .packing import BYTE_SIGNS
-from .word_codes import WordCodes, slices
+from .word_codes import slices
 
 #: Bytes of the texts of a block, unless one text has more.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+#: Words that are encoded as one line.
+LINE_WORDS = 4096
 #: A pair of ids is one number: A's id in the upper bits.
 ID_BITS = 32
 #: Groups of more links than this are counted by distinct ids, one group at a time.
@@ -48,22 +49,59 @@ def paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-@dataclass
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for each i, ``lengths[i]`` of them."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 class Coder:
-    """A tokenizer: ids of words that a space precedes, and the bytes of every id."""
+    """A tokenizer: ids of words that a space precedes, and the bytes of every id.
 
-    codes: WordCodes
-    spelled: list[bytes]
+    ``encode`` gives the ids of texts, each with a space before it.
+    """
 
-    def __post_init__(self) -> None:
-        self.lengths = np.fromiter(map(len, self.spelled), np.int64, len(self.spelled))
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], spelled: list[bytes]) -> None:
+        self.encode = encode
+        self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.joined = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.joined = np.frombuffer(b"".join(spelled), np.uint8)
 
     def octets(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in a row."""
-        n = self.lengths[ids]
-        return self.joined[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return self.joined[_ranges(self.starts[ids], self.lengths[ids])]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and where each word's ids start (one more than there are words).
+
+        Words are encoded many at a time, in lines: a line's ids are cut where a word's bytes end. Words that end with
+        white space, which a tokenizer may join to the next space, and those of lines that it does not spell stand alone.
+        """
+        ends_well = [bool(w) and not w[-1].isspace() for w in words]
+        order = [i for i, good in enumerate(ends_well) if good]
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        alone = [i for i, good in enumerate(ends_well) if not good]
+        lines = [order[at : at + LINE_WORDS] for at in range(0, len(order), LINE_WORDS)]
+        for line, ids in zip(lines, self.encode([" ".join([words[i] for i in line]) for line in lines]), strict=True):
+            ids = np.array(ids, np.int32)
+            wanted = np.cumsum([len(words[i].encode()) + 1 for i in line])
+            ends = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted):
+                found.append((line, ids, np.diff(at + 1, prepend=0)))
+            else:
+                alone += line
+        own = [np.array(x, np.int32) for x in self.encode([words[i] for i in alone])]
+        if alone:
+            found.append((alone, np.concatenate(own), np.array([len(x) for x in own])))
+        sizes = np.zeros(len(words), np.int64)
+        for line, _, n in found:
+            sizes[line] = n
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(starts[-1], np.int32)
+        for line, ids, n in found:
+            out[_ranges(starts[line], n)] = ids
+        return out, starts
 
 
 def byte_level(path: str) -> Coder:
@@ -78,10 +116,10 @@ def byte_level(path: str) -> Coder:
     for token, i in tokenizer.get_vocab().items():
         spelled[i] = bytes(signs.get(c, ord(c) & 255) for c in token)
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    return Coder(WordCodes(encode), spelled)
+    return Coder(encode, spelled)
 
 
 def piece_level(path: str) -> Coder:
@@ -100,10 +138,10 @@ def piece_level(path: str) -> Coder:
             raise ValueError(f"piece {piece!r} joins words")
     space = model.piece_to_id(SPACE)
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [i if w else [space] for w, i in zip(words, model.encode(words, num_threads=1), strict=True)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [i if t else [space] for t, i in zip(texts, model.encode(texts, num_threads=1), strict=True)] if texts else []
 
-    return Coder(WordCodes(encode), spelled)
+    return Coder(encode, spelled)
 
 
 _coders: dict[tuple[str, str], tuple[Coder, Coder]] = {}
@@ -132,12 +170,6 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(pc.list_parent_indices(plain)), pc.list_flatten(plain)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... for each i, ``lengths[i]`` of them."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 class Aligned:
     """Groups, overlaps and links of words, from the ids that two coders give them.
 
@@ -147,15 +179,15 @@ class Aligned:
 
     def __init__(self, words: list[str], a: Coder, b: Coder) -> None:
         n = len(words)
-        ids_a, from_a = self._ids(a, words)
-        ids_b, from_b = self._ids(b, words)
+        ids_a, from_a = a.words(words)
+        ids_b, from_b = b.words(words)
         wanted = [(" " + w).encode() for w in words]
         self.ok = self._spelled(a, ids_a, from_a, wanted) & self._spelled(b, ids_b, from_b, wanted)
         word_a, word_b = (np.repeat(np.arange(n), np.diff(x)) for x in (from_a, from_b))
         keep_a, keep_b = self.ok[word_a], self.ok[word_b]
         self.a, self.b, word_a, word_b = ids_a[keep_a].astype(np.int64), ids_b[keep_b].astype(np.int64), word_a[keep_a], word_b[keep_b]
-        owner_a = np.repeat(np.arange(len(self.a)), a.lengths[self.a])
-        owner_b = np.repeat(np.arange(len(self.b)), b.lengths[self.b])
+        owner_a = np.repeat(np.arange(len(self.a), dtype=np.int32), a.lengths[self.a])
+        owner_b = np.repeat(np.arange(len(self.b), dtype=np.int32), b.lengths[self.b])
         moved_a, moved_b = (np.diff(x, prepend=-1) > 0 for x in (owner_a, owner_b))
         overlap, cut = moved_a | moved_b, moved_a & moved_b
         group = np.cumsum(cut) - 1
@@ -169,10 +201,6 @@ class Aligned:
         self.n_overlaps = per_word(word_a[owner_a[overlap]])
         self.n_links = per_word(self.word, self.size_a * self.size_b)
 
-    @staticmethod
-    def _ids(coder: Coder, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return coder.codes.expand(np.arange(len(words)), pa.array(words, pa.string()), len(words))
-
     @staticmethod
     def _spelled(coder: Coder, ids: np.ndarray, starts: np.ndarray, wanted: list[bytes]) -> np.ndarray:
         got = coder.octets(ids).tobytes()
@@ -181,13 +209,14 @@ class Aligned:
             return np.ones(len(wanted), bool)
         return np.array([got[x:y] == w for x, y, w in zip(ends, ends[1:], wanted, strict=False)], bool)
 
-    def spelling(self) -> list[str]:
+    def spelling(self) -> pa.Array:
         """For each word its groups as ``a1,a2|b1;a3|b2,b3``."""
-        text_a, text_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        bounds = (x.tolist() for x in (self.first_a, self.first_a + self.size_a, self.first_b, self.first_b + self.size_b))
-        said = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip(*bounds, strict=True)]
-        ends = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
-        return [";".join(said[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        sides = []
+        for ids, first in ((self.a, self.first_a), (self.b, self.first_b)):
+            offsets = pa.array(np.append(first, len(ids)), pa.int32())
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(offsets, pc.cast(pa.array(ids), pa.string())), ","))
+        said = pc.binary_join_element_wise(*sides, "|")
+        return _joined(said, self.n_groups)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, pair, times), by word: the linked pairs of ids and how many links of the word have them; pairs may repeat."""
@@ -208,6 +237,12 @@ class Aligned:
         return word[order], pair[order], times[order]
 
 
+def _joined(parts: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Runs of ``counts[i]`` parts, joined by semicolons."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, parts), ";")
+
+
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sum of their times."""
     order = np.argsort(keys, kind="stable")
@@ -229,10 +264,7 @@ def _align_block(texts: pa.Array, a: Coder, b: Coder) -> list[pa.Array]:
     bad = np.bincount(owner, weights=~aligned.ok[number], minlength=n) > 0
     owner, number = owner[~bad[owner]], number[~bad[owner]]
     counts = [np.bincount(owner, getattr(aligned, c)[number], minlength=n).astype(np.int64) for c in _COUNTS]
-    spelled = aligned.spelling()
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).tolist()
-    said = list(map(spelled.__getitem__, number.tolist()))
-    groups = [";".join(said[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+    groups = _joined(aligned.spelling().take(pa.array(number)), np.bincount(owner, minlength=n))
     word, pair, times = aligned.links()
     distinct, local = np.unique(pair, return_inverse=True)
     held = np.bincount(word, minlength=len(coded.dictionary))
@@ -241,7 +273,7 @@ def _align_block(texts: pa.Array, a: Coder, b: Coder) -> list[pa.Array]:
     text, which = np.divmod(keys, max(1, len(distinct)))
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (distinct[which], sums)]
-    return [*(pa.array(c, pa.int64()) for c in counts), pa.array(groups, pa.string()), *lists]
+    return [*(pa.array(c, pa.int64()) for c in counts), groups, *lists]
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
