@@ -69,15 +69,18 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def scores(docs: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
-    """(row, doc_id, n_words, n_features, weight, score) of every row; ``row`` is a number of its own."""
+    """(row, doc_id, n_words, n_features, weight, score) of every row; ``row`` is a number of its own.
+
+    Of n words come n and n - 1 features, so the number of words is told from that of features, and no more than
+    ``row`` and ``doc_id`` goes along with each.
+    """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    each = texts.select("row", "doc_id", F.size("words").alias("n_words"), F.explode_outer(features(F.col("words"))).alias("feature"))
+    each = texts.select("row", "doc_id", F.explode_outer(features(F.col("words"))).alias("feature"))
     gain = F.broadcast(gains(docs, target).withColumnRenamed("bucket", "known"))  # at most BUCKETS rows
     met = each.withColumn("bucket", bucket(F.col("feature"))).join(gain, F.col("bucket") == F.col("known"), "left")
-    summed = met.groupBy("row", "doc_id", "n_words").agg(F.count("feature").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total"))
-    n = F.greatest("n_features", F.lit(1))
+    summed = met.groupBy("row", "doc_id").agg(F.count("feature").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total"))
     weight = F.expr("(total - pmod(total, greatest(n_features, 1))) div greatest(n_features, 1)")
-    return summed.select("row", "doc_id", "n_words", "n_features", weight.alias("weight")).withColumn(
+    return summed.select("row", "doc_id", F.expr("(n_features + 1) div 2").alias("n_words"), "n_features", weight.alias("weight")).withColumn(
         "score", F.col("weight") + gumbel(F.col("doc_id"), seed)
     )
 

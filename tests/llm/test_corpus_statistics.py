@@ -189,5 +189,5 @@ def test_wide_groups(spark, monkeypatch):
 def test_overlaps(spark):
     a, b = alignment.coders(*alignment.paths())
     aligned = alignment.Aligned(["word"], a, b)
-    ends = [{sum(len(c.spelled[i]) for i in ids[: n + 1]) for n in range(len(ids))} for c, ids in ((a, aligned.a.tolist()), (b, aligned.b.tolist()))]
+    ends = [{int(c.lengths[ids[: n + 1]].sum()) for n in range(len(ids))} for c, ids in ((a, aligned.a.tolist()), (b, aligned.b.tolist()))]
     assert aligned.n_overlaps[0] == len(ends[0] | ends[1]) and aligned.n_groups[0] == len(ends[0] & ends[1])
