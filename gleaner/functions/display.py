@@ -18,19 +18,7 @@ COUNTRIES = {
 }
 #: Entities that structured data keeps.
 ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
-#: Labels before an employer's name; first words of names in small letters; words of navigation, of prose
-#: to a reader and of a job's content, which no name holds; legal forms that end with a full stop; general mailboxes.
-EMPLOYER_LABELS = "werkgever organisatie employer company bedrijf".split()
-NAME_PREFIXES = "de het van von der den ten ter la le the".split()
-NAVIGATION = [
-    "solliciteer", "solliciteren", "apply", "bekijk", r"lees\s+meer", r"meer\s+(?:informatie|info|lezen)", "terug", "home", "menu", "contact", "login", "inloggen", "zoek", "zoeken", "vacatures?",
-    r"alle\s+vacatures", r"over\s+ons", r"naar\s+overzicht", "klik", "deel", "delen", "print", "bewaar", "share", r"more\s+information", r"read\s+more", "back",
-]
-READER_WORDS = "je jij jouw jou wij we ons onze ik mijn you your our".split()
-JOB_WORDS = [
-    "fte", "uur", "uren", r"per\s+(?:week|maand|jaar|uur)", "salaris", "ervaring", "opleiding", r"verantwoordelijk\w*", "vacature", r"solliciteer\w*", "functie", "werkzaamheden", "taken",
-]
-LEGAL_ENDINGS = [r"[A-Za-z]{1,2}\.[A-Za-z]{1,2}\.", r"(?:inc|ltd|co|corp|bv|nv|gmbh|e\.a|e\.d|o\.a|c\.s|a\.o)\."]
+#: General mailboxes.
 GENERAL_MAILBOXES = (
     "info contact sales verkoop service support office kantoor hallo hello hi algemeen receptie administratie offerte offertes orders? order bestellingen klantenservice "
     "customerservice mail post secretariaat planning inkoop welkom team vragen servicedesk helpdesk"
@@ -227,48 +215,6 @@ def email_address(raw: Column) -> Column:
     return F.when(F.rlike(address, F.lit(r"^[^\s@]+@[^\s@]+\.[a-z]{2,}$")), address)
 
 
-def company_name(raw: Column, strength: str) -> Column:
-    """The collapsed name if it can be one, else null.
-
-    ``explicit``: what a label or block names as the employer; only questions and paragraphs are refused. ``text``:
-    found in running text; at most nine words that begin with a capital, a digit or a small word of names, no sentence.
-    """
-    value = collapse(raw)
-    words = F.size(F.split(value, " "))
-    leads = F.rlike(value, F.lit(rf"(?i)^(?:{'|'.join(NAVIGATION)})(?![A-Za-z0-9_])"))
-    whole = (F.length(value) >= 2) & (F.length(value) <= 150) & ~leads
-    if strength == "explicit":
-        good = ~F.rlike(value, F.lit("[:?!]$")) & ~((words > 12) & F.rlike(value, F.lit("[.!?]")))
-    else:
-        first = F.substring_index(value, " ", 1)
-        begins = ~F.rlike(value, F.lit(r"^\p{Ll}")) | F.lower(first).isin(NAME_PREFIXES)
-        legal = F.rlike(value, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(LEGAL_ENDINGS)})$"))
-        sentence = F.rlike(value, F.lit(r"[:;?!]|\.\s+\S")) | (F.rlike(value, F.lit(r"\.$")) & ~legal)
-        reader = F.rlike(value, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(READER_WORDS + JOB_WORDS)})(?![A-Za-z0-9_])"))
-        good = (F.length(value) <= 90) & (words <= 9) & F.rlike(value, F.lit(r"[\p{Lu}\p{N}]")) & begins & ~sentence & ~reader
-    return F.when(whole & good, value)
-
-
-def company_from_text(text: Column) -> Column:
-    """The first usable name after an employer's label that opens a line, with a colon or a spaced dash between."""
-    labels = "|".join(EMPLOYER_LABELS)
-    found = F.regexp_extract_all(text, F.lit(rf"(?im)^[ \t]*(?:[-•*·▪]\s*)?(?:{labels})[ \t]*(?::|[ \t][-–—][ \t])[ \t]*(\S[^\n\r]*)$"), 1)
-    names = F.transform(found, lambda v: company_name(F.get(F.split(v, r";|\s{3,}|\t|\s\|\s"), F.lit(0)), "text"))
-    return F.get(F.array_compact(names), F.lit(0))
-
-
-def choose_company(json_ld: Column, microdata: Column, label: Column, block: Column, text: Column, declared: Column) -> Column:
-    """Struct of the strongest usable name and its source; ``none`` where there is none."""
-    plain = lambda c: F.nullif(collapse(c), F.lit(""))
-    ranked = [
-        (plain(json_ld), "json_ld"), (plain(microdata), "microdata"), (company_name(label, "explicit"), "explicit_label"),
-        (company_name(block, "explicit"), "organization_block"), (company_name(text, "text"), "text_fallback"), (company_name(declared, "text"), "page_metadata"),
-    ]
-    pairs = F.array(*(F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(s).alias("source"))) for v, s in ranked))
-    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit("none").alias("source"))
-    return F.coalesce(F.get(F.array_compact(pairs), F.lit(0)), none)
-
-
 def organization_of(nodes: Column) -> Column:
     """Struct of name, legal name, e-mail and cities of the first organisation among a page's data nodes (a JSON list); null without one."""
     schema = "array<struct<`@type`:string,name:string,legalName:string,email:string,address:array<struct<addressLocality:string,postalCode:string>>>>"

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .assess import PATTERNS, date_time, value_of
-from .page import Node, label_pairs, parse
+from .page import parse
 from .text import collapse, join_distinct, slugify
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: Elements whose headings are no content, and how far above a heading its part may begin.
-APART, CLIMB = ("nav", "header", "footer"), 8
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -90,75 +88,6 @@ def declared_facts(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _cards(root: Node) -> list[list[Node]]:
-    """Groups of siblings that each hold a heading, for every heading the nearest such group; the largest first."""
-    kept = []
-    for n in root.walk():
-        if n.tag in HEADINGS:
-            above, apart = n.parent, False
-            while above is not None:
-                apart, above = apart or above.tag in APART, above.parent
-            if not apart:
-                kept.append(n)
-    holds: dict[int, int] = {}
-    for h in kept:
-        above = h
-        while above is not None:
-            holds[id(above)] = holds.get(id(above), 0) + 1
-            above = above.parent
-    groups: dict[int, list[Node]] = {}
-    for h in kept:
-        box = h
-        for _ in range(CLIMB):
-            if box.parent is None or box.parent.tag in ("", "body", "html"):
-                break
-            among = [s for s in box.parent.children if isinstance(s, Node) and holds.get(id(s))]
-            if len(among) >= 2:
-                groups.setdefault(id(box.parent), among)
-                break
-            box = box.parent
-    return sorted(groups.values(), key=len, reverse=True)
-
-
-def _runs(root: Node) -> list[Node]:
-    """Parts made of a heading and what follows it up to the next of its level, where one parent holds them all."""
-    for tag in ("h2", "h3", "h4"):
-        found = [n for n in root.find_all(tag) if n.parent is not None]
-        if len(found) < 2 or len({id(n.parent) for n in found}) > 1:
-            continue
-        out: list[Node] = []
-        for child in found[0].parent.children:
-            if isinstance(child, Node) and child.tag == tag:
-                out.append(Node("section", dict(child.attrs), None, []))
-            if out:
-                out[-1].children.append(child)
-        return out
-    return []
-
-
-def page_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, url, grouping, ord, heading, anchor, text, pairs, documents): the parts into which a page may fall.
-
-    A page has several ways to fall apart, its groups of cards and last its runs of headings; ``grouping`` counts them.
-    """
-    schema = "page_id long, url string, grouping int, ord int, heading string, anchor string, text string, pairs array<struct<label:string,value:string>>, documents int"
-
-    def rows_of(p: tuple) -> Iterator[tuple]:
-        root = parse(p.html)
-        for g, group in enumerate([*_cards(root), _runs(root)]):
-            for i, part in enumerate(group):
-                heading = next((n.text() for n in part.walk() if n.tag in HEADINGS), None)
-                links = {a.attrs.get("href", "") for a in part.find_all("a")}
-                files = sum(x.lower().split("?")[0].split("#")[0].endswith((".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip")) for x in links)
-                yield p.page_id, p.url, g, i, heading, part.attrs.get("id"), part.text(), [{"label": a, "value": b} for a, b in label_pairs(part)], files
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame([r for p in rows.itertuples(index=False) for r in rows_of(p)], columns=["page_id", "url", "grouping", "ord", "heading", "anchor", "text", "pairs", "documents"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
-
-
 def section_items(sections: DataFrame) -> DataFrame:
     """Procurements written out on one page: (page_id, item, title, reference, deadline, item_url), two or more a page.
 

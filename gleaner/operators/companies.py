@@ -60,19 +60,32 @@ def activities(hits: DataFrame, by: str) -> DataFrame:
     customer's sector in a context of supply; anything else that is structural or in two sentences; never what is
     merely related. Terms: the first five spellings.
     """
-    strongest = F.struct((~F.col("supply")).cast("int").alias("s"), (~F.col("structural")).cast("int").alias("t"), (-F.col("count")).alias("c"), F.col("ord").alias("o"), F.col("url").alias("url"))
+    key = [by, "kind", "key"]
+    strongest = [F.col("supply").desc(), F.col("structural").desc(), F.col("count").desc(), F.col("ord").asc()]
     first = lambda c: F.min_by(c, "ord").alias(c)
     plain = F.bool_or("structural") | (F.sum("sentences") >= 2)
     strong = ~F.bool_or("related") & F.when(F.col("kind") == "customer_sector", F.bool_or("supply")).otherwise(plain)
-    terms = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]))
-    return hits.groupBy(by, "kind", "key").agg(
-        first("label"),
-        first("related"),
-        F.when(strong, F.lit("strong")).otherwise(F.lit("weak")).alias("strength"),
-        # a page's hit of a term is one row, so the list is as long as the company has pages
-        F.transform(F.slice(F.array_sort(F.collect_list(strongest)), 1, 3), lambda x: x["url"]).alias("evidence"),
-        F.slice(F.array_compact(terms), 1, 5).alias("terms"),
-    )
+    said = hits.groupBy(*key).agg(first("label"), first("related"), F.when(strong, F.lit("strong")).otherwise(F.lit("weak")).alias("strength"))
+    best = first_of(hits, key, strongest, 3, F.col("ord")).groupBy(*key).agg(in_rank("url").alias("evidence"))
+    spelled = hits.where("term is not null").groupBy(*key, "term").agg(F.min("ord").alias("ord"))
+    terms = first_of(spelled, key, [F.col("ord").asc(), F.col("term").asc()], 5, F.xxhash64("term")).groupBy(*key).agg(in_rank("term").alias("terms"))
+    return said.join(best, key, "left").join(terms, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def first_of(rows: DataFrame, key: list[str], order: list[Column], n: int, spread: Column, shares: int = 64) -> DataFrame:
+    """The first ``n`` rows of each key, numbered by ``rank``.
+
+    Each of ``shares`` parts of a key, dealt by ``spread``, gives its first ``n``; of those the first are taken. So a key
+    with most of the rows is not one task's, and nothing longer than ``n`` is ever gathered.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(shares)).alias("share")
+    some = rows.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy(*key, "share").orderBy(*order))).where(F.col("rank") <= n)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= n).drop("share")
+
+
+def in_rank(column: str) -> Column:
+    """An aggregate of ``first_of``'s rows: the column's values in order of rank."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda x: x[column])
 
 
 def company_profile(pages: DataFrame, by: str) -> DataFrame:
@@ -85,17 +98,19 @@ def company_profile(pages: DataFrame, by: str) -> DataFrame:
     contact_first = F.struct((F.col("page_type") != "contact").cast("int").alias("k"), "ord")
     home_first = F.struct(F.when(F.col("page_type") == "home", 0).when(F.col("page_type") == "about", 1).otherwise(2).alias("k"), "ord")
     told = F.when(F.col("page_type").isin("home", "about") & F.col("description").isNotNull(), home_first)
-    in_order = lambda c, n: F.slice(F.array_distinct(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]))), 1, n)
-    return pages.groupBy(by).agg(
+    told_all = pages.groupBy(by).agg(
         F.coalesce(first("legal_name"), first("org_name"), first("site_name")).alias("name"),
         F.array_sort(F.collect_set("site_name")).alias("trade_names"),
         F.min_by("description", told).alias("description"),
         first("phone", contact_first).alias("phone"),
         first("email", contact_first).alias("email"),
         F.min_by("url", F.when(F.col("page_type") == "contact", F.col("ord"))).alias("contact_url"),
-        in_order("city", 10).alias("cities"),
-        in_order("area", 15).alias("areas"),
     )
+    for column, name, most in (("city", "cities", 10), ("area", "areas", 15)):
+        distinct = pages.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.min("ord").alias("ord"))
+        found = first_of(distinct, [by], [F.col("ord").asc(), F.col(column).asc()], most, F.xxhash64(column)).groupBy(by).agg(in_rank(column).alias(name))
+        told_all = told_all.join(found, by, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return told_all
 
 
 def business_types(pages: DataFrame, found: DataFrame, by: str) -> DataFrame:

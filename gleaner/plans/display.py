@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import display as D
+from gleaner.functions import employers
 from gleaner.operators.scoring import Rule, present_and_missing, score
 
 from .tables import FACTS_SQL, document_facts, table
@@ -154,8 +155,8 @@ def employer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     name = _pick(n % len(NAMES), *NAMES)
     text = F.concat(F.lit("Inleiding\n - Werkgever: "), name, F.lit(" | Delft\nBedrijf - Later Genoemd\norganisatie: laatste"))
-    chosen = D.choose_company(F.when(n % 7 == 0, F.lit(" Ld  Naam ")), F.lit(None).cast("string"), F.when(n % 5 == 0, name), F.lit(""), D.company_from_text(text), F.lit("Meta Naam"))
-    return table(spark, sf_dir, "part").select("p_partkey", D.company_name(name, "explicit").alias("explicit"), D.company_from_text(text).alias("in_text"), chosen["value"].alias("chosen"), chosen["source"].alias("source"))
+    chosen = employers.choose_company(F.when(n % 7 == 0, F.lit(" Ld  Naam ")), F.lit(None).cast("string"), F.when(n % 5 == 0, name), F.lit(""), employers.company_from_text(text), F.lit("Meta Naam"))
+    return table(spark, sf_dir, "part").select("p_partkey", employers.company_name(name, "explicit").alias("explicit"), employers.company_from_text(text).alias("in_text"), chosen["value"].alias("chosen"), chosen["source"].alias("source"))
 
 
 def organization_data(spark: SparkSession, sf_dir: str) -> DataFrame:
