@@ -14,6 +14,47 @@ BINARY = r"(?i)\.(?:pdf|jpe?g|png|gif|webp|svg|ico|zip|gz|mp[34]|avi|woff2?|ttf|
 TWO_LABEL_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au co.nz co.za com.br com.tr co.jp com.cn com.mx co.in".split()
 
 
+#: The parts of a reference, each with its mark: scheme, authority, path, query, fragment.
+_REFERENCE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments, folded from its first segment on; no more is left than there is."""
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, i: Column) -> Column:
+        segment, last = F.get(segments, i), i == F.size(segments) - 1
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        # a dot at the end leaves the folder's slash
+        open_end = lambda rest: F.when(last, F.array_append(rest, F.lit(""))).otherwise(rest)
+        return F.when(segment == ".", open_end(kept)).when(segment == "..", open_end(up)).otherwise(F.array_append(kept, segment))
+
+    rooted = F.startswith(path, F.lit("/"))
+    folded = F.aggregate(F.sequence(rooted.cast("int"), F.size(segments) - 1), none, step)
+    return F.when(F.contains(path, F.lit(".")), F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The address that a reference means on a page of the absolute address ``base``; null without one of them.
+
+    White space around a reference and line breaks and tabs in it do not count.
+    """
+    part = lambda url, n: F.regexp_extract(url, _REFERENCE, n)
+    ref = F.trim(F.regexp_replace(reference, r"[\t\r\n]+", ""))
+    b = {n: part(base, i + 1) for i, n in enumerate(("scheme", "authority", "path", "query"))}
+    r = {n: part(ref, i + 1) for i, n in enumerate(("scheme", "authority", "path", "query", "fragment"))}
+    folder = F.when((b["authority"] != "") & (b["path"] == ""), F.lit("/")).otherwise(F.regexp_extract(b["path"], r"(?s)^(.*/)", 1))
+    merged = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(F.concat(folder, r["path"]))
+    whole = lambda *parts: F.concat(*parts, r["fragment"])
+    return (
+        F.when(r["scheme"] != "", whole(r["scheme"], r["authority"], without_dots(r["path"]), r["query"]))
+        .when(r["authority"] != "", whole(b["scheme"], r["authority"], without_dots(r["path"]), r["query"]))
+        .when(r["path"] == "", whole(b["scheme"], b["authority"], b["path"], F.when(r["query"] != "", r["query"]).otherwise(b["query"])))
+        .otherwise(whole(b["scheme"], b["authority"], without_dots(merged), r["query"]))
+    )
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _PARTS, 1))
 

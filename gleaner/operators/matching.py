@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that don't tell organisations apart.
@@ -10,6 +10,8 @@ NAME_STOPWORDS = [
     "de", "het", "een", "van", "der", "den", "en", "the", "of", "and", "bv", "nv", "b", "v", "n",
     "gemeente", "provincie", "waterschap", "stichting", "ministerie", "vereniging", "www",
 ]
+#: Of the shorter name's words, the share that the longer one must have.
+LEAST_SHARE = 0.6
 STATUS_RANK = {"insufficient": 0, "possible": 1, "confirmed": 2}
 
 
@@ -23,7 +25,29 @@ def tokens_match(a: Column, b: Column) -> Column:
     """At least 60 % of the shorter list's words, repeats counted, are in the longer one."""
     short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
     share = F.size(F.filter(short, lambda w: F.array_contains(long, w))) / F.size(short)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False)).otherwise(share >= 0.6)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False)).otherwise(share >= LEAST_SHARE)
+
+
+def similar_names(names: DataFrame, block: list[str]) -> DataFrame:
+    """(a, b), a < b: rows of (ord, ``block``, tokens) of one block whose names match as in ``tokens_match``.
+
+    A set-similarity join. The words of a name are put in order of how many names hold them, rarest first. A shorter
+    name that shares enough words with a longer one shares one of its first ``n - least + 1``, so only names that meet in
+    such a word and whose lengths allow it are compared. A block of names without common rare words makes few pairs.
+    """
+    c = F.col
+    sized = names.where(F.size("tokens") > 0).select("ord", *block, "tokens", F.size("tokens").alias("n"))
+    words = sized.select("ord", *block, "n", F.explode("tokens").alias("word"))
+    holders = words.groupBy("word").agg(F.count_distinct("ord").alias("names"))
+    ordered = words.join(holders, "word").withColumn("place", F.row_number().over(Window.partitionBy("ord").orderBy("names", "word")))
+    least = F.ceil(c("n") * LEAST_SHARE - 1e-9)
+    first = ordered.where(c("place") <= c("n") - least + 1).select(c("ord").alias("short"), c("n").alias("short_n"), "word", *block).distinct()
+    every = words.select(c("ord").alias("long"), c("n").alias("long_n"), "word", *block).distinct()
+    allowed = (c("short_n") < c("long_n")) | ((c("short_n") == c("long_n")) & (c("short") < c("long")))
+    met = first.join(every, [*block, "word"]).where(allowed).select("short", "long").distinct()
+    tokens = sized.select(c("ord").alias("id"), "tokens")
+    both = met.join(tokens.select(c("id").alias("short"), c("tokens").alias("x")), "short").join(tokens.select(c("id").alias("long"), c("tokens").alias("y")), "long")
+    return both.where(tokens_match(c("x"), c("y"))).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
 
 
 def host_names_publisher(host: Column, tokens: Column) -> Column:

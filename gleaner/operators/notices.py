@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.text import collapse
+from gleaner.functions.text import collapse, once
 
 #: Labels of the publisher's codes.
 NOTICE_TYPES = {
@@ -73,11 +73,14 @@ def _first(values: Column) -> Column:
 
 def pick_language(raw: Column, longest: int = 500) -> Column:
     """Strings of the preferred language of a ``{language: value or list}`` object, else of the first that has any."""
-    languages = F.from_json(raw, _MAP)
-    preferred = F.array(*(strings(F.try_element_at(languages, F.lit(x)), longest) for x in LANGUAGES))
-    rest = F.transform(F.map_entries(languages), lambda e: strings(e["value"], longest))
-    every = F.concat(preferred, F.coalesce(rest, F.array().cast("array<array<string>>")))
-    return F.coalesce(_first(F.filter(every, lambda v: F.size(v) > 0)), F.array().cast(_LIST))
+
+    def of_languages(languages: Column) -> Column:
+        preferred = F.array(*(strings(F.try_element_at(languages, F.lit(x)), longest) for x in LANGUAGES))
+        rest = F.transform(F.map_entries(languages), lambda e: strings(e["value"], longest))
+        every = F.concat(preferred, F.coalesce(rest, F.array().cast("array<array<string>>")))
+        return F.coalesce(_first(F.filter(every, lambda v: F.size(v) > 0)), F.array().cast(_LIST))
+
+    return once(F.from_json(raw, _MAP), of_languages)
 
 
 def _labelled(code: Column, labels: dict[str, str]) -> Column:
@@ -134,14 +137,9 @@ def notice_url(fields: Column, number: Column) -> Column:
     return F.when(F.startswith(link, F.lit(NOTICE_ORIGIN)), link).otherwise(F.concat(F.lit(f"{NOTICE_ORIGIN}en/notice/-/detail/"), number))
 
 
-def map_notices(notices: DataFrame, json: str = "json") -> DataFrame:
-    """Tender facts of notices whose fields are lists with one entry a lot; a notice without a number gives no row.
-
-    Codes and places lose repeats, the deadline is the earliest. Further columns stay in front.
-    """
-    others = [c for c in notices.columns if c != json]
-    n = notices.select(*others, fields_of(F.col(json)).alias("f"))
-    field = lambda name: F.try_element_at(F.col("f"), F.lit(name))
+def _facts_of_notice(f: Column) -> Column:
+    """Struct of a notice's facts from the map of its fields."""
+    field = lambda name: F.try_element_at(f, F.lit(name))
     number, kind = clean(field("publication-number"), 20), clean(field("notice-type"), 40)
     cpv = F.array_distinct(F.filter(strings(field("classification-cpv")), lambda c: F.rlike(c, F.lit(r"^\d{8}$"))))
     nuts = F.filter(strings(field("place-of-performance")), lambda c: F.rlike(c, F.lit("^[A-Z]{2}[A-Z0-9]{1,3}$")) & ~F.rlike(c, F.lit("^[A-Z]{3}$")))
@@ -149,8 +147,7 @@ def map_notices(notices: DataFrame, json: str = "json") -> DataFrame:
     contract = F.array_distinct(F.transform(strings(field("contract-nature")), lambda c: _labelled(c, CONTRACTS)))
     title = F.coalesce(*(_first(pick_language(field(k))) for k in ("title-proc", "title-lot", "notice-title")))
     deadlines = local_deadlines(strings(field("deadline-receipt-tender-date-lot")), strings(field("deadline-receipt-tender-time-lot")))
-    return n.where(number.isNotNull()).select(
-        *others,
+    return F.struct(
         F.coalesce(clean(field("procedure-identifier"), 60), clean(field("notice-identifier"), 60), F.concat(F.lit("publicatie-"), number)).alias("tender_identity"),
         number.alias("publication_id"),
         title.alias("title"),
@@ -163,12 +160,23 @@ def map_notices(notices: DataFrame, json: str = "json") -> DataFrame:
         F.array_distinct(nuts).alias("nuts"),
         F.nullif(F.regexp_extract(clean(field("publication-date"), 40), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("published"),
         F.array_min(deadlines).alias("deadline"),
-        estimated_value(F.col("f")).alias("value"),
+        estimated_value(f).alias("value"),
         _first(pick_language(field("description-proc"), 10_000)).alias("description"),
-        notice_url(F.col("f"), number).alias("source_url"),
+        notice_url(f, number).alias("source_url"),
     )
 
 
+def map_notices(notices: DataFrame, json: str = "json") -> DataFrame:
+    """Tender facts of notices whose fields are lists with one entry a lot; a notice without a number gives no row.
+
+    Codes and places lose repeats, the deadline is the earliest. Further columns stay in front. A notice is parsed
+    once: its fields are a variable of the expression that makes the facts.
+    """
+    others = [c for c in notices.columns if c != json]
+    facts = once(fields_of(F.col(json)), lambda f: F.when(clean(F.try_element_at(f, F.lit("publication-number")), 20).isNotNull(), _facts_of_notice(f)))
+    return notices.select(*others, F.inline(F.array_compact(F.array(facts))))
+
+
 def _coded(raw: Column) -> tuple[Column, Column]:
     entry = F.from_json(raw, _MAP)
     return clean(F.try_element_at(entry, F.lit("code")), 40), clean(F.try_element_at(entry, F.lit("omschrijving")), 200)

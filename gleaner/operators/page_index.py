@@ -7,11 +7,14 @@ by equality. What stands before a run decides whether it counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.dom import attr, holder, joined_text, within
 from gleaner.functions.text import fold_accents
+from gleaner.functions.url import is_web, normalize_url, resolve
 
 #: Elements that are no text, marks of consent notices, and elements and roles that stand on every page of a site.
 HIDDEN = ["script", "style", "noscript", "svg", "iframe", "template"]
@@ -19,6 +22,8 @@ CONSENT = r"cookie|consent|gdpr"
 APART = ["nav", "header", "footer", "aside"]
 APART_ROLES = ["navigation", "banner", "contentinfo"]
 HEADINGS = ["h1", "h2", "h3"]
+#: Links of a page that are read, and links to single records that make it a listing.
+MOST_LINKS, LEAST_DETAILS = 2000, 3
 #: Links of a menu that are read, characters of a piece of a sentence, of the text before a term, of a quote and of a title as one.
 MENU_LINKS, PIECE, BEFORE, QUOTE, TITLE_QUOTE = 150, 400, 60, 280, 200
 #: Endings of a term of five characters or more. One word of eight or more may begin a compound.
@@ -225,6 +230,27 @@ def page_term_hits(units: DataFrame, pages: DataFrame, specs: DataFrame) -> Data
     )
 
 
+def page_links(nodes: DataFrame, pages: DataFrame, is_detail: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(page_id, place, target, label, source): the first 2,000 links of pages (page_id, url), resolved.
+
+    A page's base is its first base element's address, resolved on its own, where that gives one. Targets are in normal form;
+    links that lead to no web page are left out. ``is_detail`` tells from target and label whether a link leads to a
+    single record; a page with three such links or more is a listing, and its links say so.
+    """
+    link = (F.col("tag") == "a") & attr("href").isNotNull()
+    flagged = nodes.select("page_id", "pre", "tag", "text", attr("href").alias("href"), holder(link).alias("link"))
+    bases = flagged.where("tag = 'base' and href is not null").groupBy("page_id").agg(F.min_by("href", "pre").alias("base"))
+    at = pages.select("page_id", "url").join(bases, "page_id", "left").select("page_id", F.coalesce(F.when(is_web(resolve(F.col("url"), F.col("base"))), resolve(F.col("url"), F.col("base"))), "url").alias("base"))
+    said = flagged.where("link is not null").groupBy("page_id", F.col("link").alias("pre")).agg(joined_text().alias("label"))
+    hrefs = flagged.where((F.col("tag") == "a") & F.col("href").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("place") <= MOST_LINKS)
+    named = hrefs.select("page_id", "pre", "place", "href").join(said, ["page_id", "pre"], "left").join(at, "page_id")
+    target = normalize_url(resolve(F.col("base"), F.col("href")))
+    found = named.select("page_id", "place", target.alias("target"), F.coalesce("label", F.lit("")).alias("label")).where("target is not null")
+    detail = is_detail(F.col("target"), F.col("label")) if is_detail else F.lit(False)
+    listing = F.count(F.when(detail, F.lit(1))).over(Window.partitionBy("page_id")) >= LEAST_DETAILS
+    return found.withColumn("source", F.when(listing, F.lit("listing")).otherwise(F.lit("link")))
+
+
 def page_statements(nodes: DataFrame) -> DataFrame:
     """One row a page: title, description, site_name, legal_name, registration, cart, prices, product_data, consumer_cues, business_cues, n_chars.
 

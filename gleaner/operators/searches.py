@@ -155,23 +155,28 @@ def provider_results(rows: DataFrame, site: str, order: str, sizes: DataFrame) -
     return kept.select(*rows.columns), meta
 
 
+#: Provinces that share their name with a city.
+ALSO_CITIES = ["utrecht", "groningen"]
+
+
 def find_places(values: DataFrame, value: str, gazetteer: DataFrame) -> DataFrame:
     """``values`` with the place or province that a value names: kind, name, province; null where it names none.
 
     ``gazetteer``: kind, name, alias, province; one row an alias. A province may be called one outright; those that share
     a name with a city (utrecht, groningen) must be.
     """
-    raw = normalize_words(F.col(value))
+    asked = values.select(F.col(value).alias("asked")).distinct()
+    raw = normalize_words(F.col("asked"))
     outright = F.startswith(raw, F.lit("provincie "))
     bare = F.regexp_replace(F.regexp_replace(raw, "^provincie ", ""), " provincie$", "")
     named = gazetteer.select("kind", "name", "province", normalize_words(F.col("alias")).alias("known")).distinct()
-    cities = F.lit(["utrecht", "groningen"])
-    keyed = values.withColumns({"known": bare, "said": outright | F.rlike(raw, F.lit(" provincie$"))})
-    met = keyed.join(named, "known", "left").withColumn(
-        "fits", F.when(F.col("kind") == "province", F.col("said") | ~F.array_contains(cities, F.col("known"))).otherwise(~F.col("said"))
+    keyed = asked.withColumns({"known": bare, "said": outright | F.rlike(raw, F.lit(" provincie$"))})
+    met = keyed.join(named, "known").withColumn(
+        "fits", F.when(F.col("kind") == "province", F.col("said") | ~F.col("known").isin(ALSO_CITIES)).otherwise(~F.col("said"))
     )
     best = lambda c: F.min_by(c, F.when(F.col("fits"), F.when(F.col("kind") == "place", 0).otherwise(1))).alias(c)
-    return met.groupBy(*values.columns).agg(best("kind"), best("name"), best("province"))
+    found = met.groupBy("asked").agg(best("kind"), best("name"), best("province"))
+    return values.join(found, values[value] == found["asked"], "left").drop("asked")
 
 
 def company_identity(domain: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,19 +154,22 @@ def match_any_key(incoming: DataFrame, stored: DataFrame, keys: list[tuple[str,
 
     Both tables have a unique ``ord`` and the key columns. A pair's points are those of all keys it shares, summed
     and at most 100. ``match``: the earliest stored row that reaches ``duplicate``; ``possible``: any reaches ``possible``.
-    Rows with all keys equal are one class on either side before any pair is formed.
+
+    No pairs are formed: of every set of keys whose points reach ``possible``, the earliest stored row with each
+    combination of values is known, and an incoming row meets that one. The pair that shares most is among those of
+    its own set, and the earliest good one among those of a set that reaches ``duplicate``, so nothing is lost.
     """
     names = [k for k, _ in keys]
+    sets = [s for n in range(1, len(keys) + 1) for s in combinations(keys, n)]
+    reaching = [([k for k, _ in s], min(100, sum(p for _, p in s))) for s in sets if sum(p for _, p in s) >= possible]
+    known = lambda members: reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in members))
+    cell = lambda n, members, points: F.when(known(members), F.struct(F.lit(n).alias("set"), F.lit(points).alias("points"), F.array(*(F.col(k).cast("string") for k in members)).alias("values")))
+    cells = F.inline(F.array_compact(F.array(*(cell(n, *s) for n, s in enumerate(reaching)))))
     left = incoming.groupBy(*names).agg(F.min("ord").alias("a"))
     right = stored.groupBy(*names).agg(F.min("ord").alias("b"))
-    hits = [
-        left.select("a", F.col(k).alias("key")).where("key is not null").join(right.select("b", F.col(k).alias("key")), "key").select("a", "b", F.lit(points).alias("points"))
-        for k, points in keys
-    ]
-    pairs = reduce(DataFrame.unionByName, hits).groupBy("a", "b").agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"))
-    best = pairs.where(F.col("score") >= possible).groupBy("a").agg(
-        F.max("score").alias("score"), F.min(F.when(F.col("score") >= duplicate, F.col("b"))).alias("match")
-    )
+    firsts = right.select("b", cells).groupBy("set", "values").agg(F.min("b").alias("b"))
+    met = left.select("a", cells).join(firsts, ["set", "values"])
+    best = met.groupBy("a").agg(F.max("points").alias("score"), F.min(F.when(F.col("points") >= duplicate, F.col("b"))).alias("match"))
     same = [F.col(f"i.{k}").eqNullSafe(F.col(f"c.{k}")) for k in names]
     classes = left.join(best, "a").select(*names, "score", "match")
     return incoming.alias("i").join(classes.alias("c"), same, "left").select("i.*", "score", "match", F.col("score").isNotNull().alias("possible"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,24 +149,66 @@ def pending_migrations(available: DataFrame, applied: DataFrame) -> DataFrame:
     return left.withColumn("place", F.row_number().over(Window.orderBy("version")))  # a list of files, not data
 
 
-def write_run(tables: dict[str, DataFrame], folder: str, run: str) -> dict[str, str]:
-    """Write all tables of a run beside the committed ones, then commit them by one marker file.
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(run, attempt, version) of the attempt that counts for each committed run; None before the first commit.
+
+    A manifest is a file named after its run and version that holds the attempt's name. The highest version counts.
+    """
+    path, files = _file_system(spark, f"{folder}/committed")
+    if not files.exists(path):
+        return None
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    each = spark.read.format("binaryFile").load(f"{folder}/committed").select(
+        F.try_url_decode(F.regexp_extract(name, r"^(.*)\.(\d+)$", 1)).alias("run"), F.regexp_extract(name, r"^(.*)\.(\d+)$", 2).cast("long").alias("version"), F.col("content").cast("string").alias("attempt")
+    )
+    return each.groupBy("run").agg(F.max_by("attempt", "version").alias("attempt"), F.max("version").alias("version"))
+
+
+def run_version(spark: SparkSession, folder: str, run: str) -> int:
+    """The version of a run that readers see; 0 for none."""
+    found = _manifests(spark, folder)
+    row = found.where(F.col("run") == run).first() if found is not None else None
+    return row["version"] if row else 0
+
 
-    Readers take the runs that have a marker, so a run is seen whole or not at all; writing it again replaces it.
+def write_run(tables: dict[str, DataFrame], folder: str, run: str, after: int | None = None) -> str:
+    """Write all tables of a run to folders of an attempt of its own, then commit them by one manifest; the attempt's name.
+
+    Readers see the attempt that the newest manifest names, so a run is seen whole or not at all, and one that is written
+    again stays readable until its new manifest stands. ``after`` is the version that this write replaces, by default
+    the one that stands now. Of two writers that replace the same version the first to commit wins; the other
+    raises ``RunConflict``, and its files are seen by no one.
     """
     spark = next(iter(tables.values())).sparkSession
-    paths = {}
+    version = (run_version(spark, folder, run) if after is None else after) + 1
+    attempt = f"a-{uuid.uuid4().hex}"
     for name, rows in tables.items():
-        paths[name] = f"{folder}/{name}/run={run}"
-        rows.write.mode("overwrite").parquet(paths[name])
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/committed/{run}")
-    out = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker, True)
-    out.write(49)  # a reader leaves empty files out
+        rows.withColumns({"run": F.lit(run), "attempt": F.lit(attempt)}).write.parquet(f"{folder}/{name}/{attempt}")
+    marker, files = _file_system(spark, f"{folder}/committed/{quote(run, safe='')}.{version}")
+    try:
+        out = files.create(marker, False)  # fails if another writer has this version
+    except Py4JJavaError as e:
+        if not files.exists(marker):
+            raise
+        raise RunConflict(f"run {run} already has version {version}") from e
+    out.write(bytearray(attempt.encode()))
     out.close()
-    return paths
+    return attempt
+
+
+class RunConflict(Exception):
+    """Another writer has committed the version of a run that this one meant to write."""
 
 
 def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The rows of all committed runs of a table, with their ``run``."""
-    done = spark.read.format("binaryFile").load(f"{folder}/committed").select(F.regexp_extract("path", "([^/]+)$", 1).alias("run"))
-    return spark.read.parquet(f"{folder}/{name}").withColumn("run", F.col("run").cast("string")).join(done, "run", "left_semi")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/{name}")
+    done = _manifests(spark, folder)
+    if done is None:
+        return rows.drop("attempt").limit(0)
+    return rows.join(done.select("run", "attempt"), ["run", "attempt"], "left_semi").drop("attempt")

@@ -60,6 +60,21 @@ def site_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("company", "kind", "key", "label", "related", "strength", F.array_join("evidence", " ").alias("evidence"), F.array_join("terms", ",").alias("terms"))
 
 
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages as their base makes them, each also from the folder above, with dots, and without a scheme.
+
+    To the links that stand on a page come three forms of each, made of its text; every second page has a base element.
+    """
+    c = F.col
+    p = table(spark, sf_dir, "pages")
+    more = """<a href="/$1"></a><a href=../$1></a><a href="./x/../$1?b=2&amp;a=1#f"></a><A HREF='//other.example.org/a/../$1'>"""
+    forms = F.regexp_replace("html", '<a href="/([^"]*)">', more)
+    base = F.when(c("page_id") % 2 == 0, F.lit('<base href="/base/of/pages">')).otherwise(F.lit(""))
+    made = p.select("page_id", "url", F.concat(base, forms).alias("html"))
+    found = P.page_links(materialize(nodes(made), "nodes"), made, lambda target, label: F.endswith(target, F.lit("e")))
+    return found.groupBy("page_id", "target", "source").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"))
+
+
 def page_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page declares and how it sells."""
     _, tree = _read(spark, sf_dir)
@@ -129,6 +144,14 @@ SELECT company, kind, key, arg_min(label, page_id) AS label, arg_min(related, pa
   CASE WHEN NOT bool_or(related) AND (CASE WHEN kind = 'customer_sector' THEN bool_or(supply) ELSE bool_or(structural) OR sum(sentences) >= 2 END) THEN 'strong' ELSE 'weak' END AS strength,
   array_to_string((list(url ORDER BY supply DESC, structural DESC, "count" DESC, page_id))[1:3], ' ') AS evidence, max(ts) AS terms
 FROM own JOIN (SELECT company, kind, key, array_to_string((list(term ORDER BY o, term))[1:5], ',') AS ts FROM spelt GROUP BY ALL) USING (company, kind, key) GROUP BY company, kind, key""",
+    "resolved_links": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+:)', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+    CASE WHEN page_id % 2 = 0 THEN '/base/of/pages' ELSE coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') END AS path, html FROM pages),
+f AS (SELECT page_id, scheme, host, regexp_extract(path, '^(.*/)', 1) AS dir, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS t, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1)) AS said FROM p),
+u AS (SELECT page_id, scheme || '//' || host || '/' || t AS target, '' AS label FROM f
+  UNION ALL SELECT page_id, scheme || '//' || host || regexp_replace(dir, '[^/]+/$', '') || t, '' FROM f
+  UNION ALL SELECT page_id, scheme || '//' || host || dir || t || '?a=1&b=2', '' FROM f
+  UNION ALL SELECT page_id, scheme || '//other.example.org/' || t, trim(said) FROM f)
+SELECT page_id, target, CASE WHEN (SELECT count(*) FROM u v WHERE v.page_id = u.page_id AND ends_with(v.target, 'e')) >= 3 THEN 'listing' ELSE 'link' END AS source, count(*) AS n, max(label) AS label FROM u GROUP BY page_id, target""",
     "page_statements": rf"""WITH {_PARTS}, t AS (SELECT page_id, max(t) FILTER (region = 'title') AS title, max(t) FILTER (region = 'content') AS content, max(t) FILTER (region = 'footer') AS foot,
     coalesce(string_agg(t, ' ' ORDER BY unit) FILTER (region = 'nav'), '') AS nav FROM parts GROUP BY page_id)
 SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS description, NULL::VARCHAR AS site_name,
@@ -141,4 +164,4 @@ SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS description, NULL::
   length(trim(regexp_replace(nav || ' ' || content || ' ' || foot, '\s+', ' ', 'g'))) AS n_chars FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (page_term_hits, site_activities, page_statements)}
+QUERIES = {f.__name__: f for f in (page_term_hits, site_activities, page_statements, resolved_links)}

@@ -122,7 +122,8 @@ def run_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (0, 1):
         part = o.where(F.col("o_orderkey") % 3 == run)
         store.write_run({"records": part.select("o_orderkey", "o_totalprice"), "sources": part.select("o_orderkey", "o_custkey")}, folder, f"r{run}")
-    o.where("o_orderkey % 3 = 2").select("o_orderkey", "o_totalprice").write.parquet(f"{folder}/records/run=r2")
+    lost = o.where("o_orderkey % 3 = 2").select("o_orderkey", "o_totalprice", F.lit("r2").alias("run"), F.lit("a-lost").alias("attempt"))
+    lost.write.parquet(f"{folder}/records/a-lost")
     records, sources = store.committed(spark, folder, "records"), store.committed(spark, folder, "sources")
     return records.join(sources.drop("run"), "o_orderkey").groupBy("run").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("o_custkey").alias("sources"))
 

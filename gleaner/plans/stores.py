@@ -155,10 +155,8 @@ def prefix_category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose names match another part's of the same brand and size."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", matching.name_tokens(F.lower("p_name")).alias("t"))
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.where(matching.tokens_match(F.col("a.t"), F.col("b.t"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), "p_brand", "p_size", matching.name_tokens(F.lower("p_name")).alias("tokens"))
+    return matching.similar_names(p, ["p_brand", "p_size"])
 
 
 def activity_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
