@@ -21,7 +21,7 @@ PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once a row, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def collapse(text: Column) -> Column:

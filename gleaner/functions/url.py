@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 #: Parameters that follow visitors, for crawling and for search results.
 CRAWL_TRACKING = r"(?i)^(utm_.+|fbclid|gclid)$"
@@ -20,19 +22,21 @@ _REFERENCE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.
 
 def without_dots(path: Column) -> Column:
     """A path without ``.`` and ``..`` segments, folded from its first segment on; no more is left than there is."""
-    segments = F.split(path, "/")
     none = F.array().cast("array<string>")
 
-    def step(kept: Column, i: Column) -> Column:
-        segment, last = F.get(segments, i), i == F.size(segments) - 1
-        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        # a dot at the end leaves the folder's slash
-        open_end = lambda rest: F.when(last, F.array_append(rest, F.lit(""))).otherwise(rest)
-        return F.when(segment == ".", open_end(kept)).when(segment == "..", open_end(up)).otherwise(F.array_append(kept, segment))
+    def fold(segments: Column) -> Column:
+        def step(kept: Column, i: Column) -> Column:
+            segment, last = F.get(segments, i), i == F.size(segments) - 1
+            up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+            # a dot at the end leaves the folder's slash
+            open_end = lambda rest: F.when(last, F.array_append(rest, F.lit(""))).otherwise(rest)
+            return F.when(segment == ".", open_end(kept)).when(segment == "..", open_end(up)).otherwise(F.array_append(kept, segment))
+
+        rooted = F.get(segments, F.lit(0)) == ""
+        kept = F.aggregate(F.sequence(rooted.cast("int"), F.size(segments) - 1), none, step)
+        return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
 
-    rooted = F.startswith(path, F.lit("/"))
-    folded = F.aggregate(F.sequence(rooted.cast("int"), F.size(segments) - 1), none, step)
-    return F.when(F.contains(path, F.lit(".")), F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))).otherwise(path)
+    return F.when(F.contains(path, F.lit(".")), once(F.split(path, "/"), fold)).otherwise(path)
 
 
 def resolve(base: Column, reference: Column) -> Column:
@@ -40,19 +44,25 @@ def resolve(base: Column, reference: Column) -> Column:
 
     White space around a reference and line breaks and tabs in it do not count.
     """
-    part = lambda url, n: F.regexp_extract(url, _REFERENCE, n)
+    names = ("scheme", "authority", "path", "query", "fragment")
+    parts = lambda url: F.struct(*(F.regexp_extract(url, _REFERENCE, i + 1).alias(n) for i, n in enumerate(names)))
     ref = F.trim(F.regexp_replace(reference, r"[\t\r\n]+", ""))
-    b = {n: part(base, i + 1) for i, n in enumerate(("scheme", "authority", "path", "query"))}
-    r = {n: part(ref, i + 1) for i, n in enumerate(("scheme", "authority", "path", "query", "fragment"))}
-    folder = F.when((b["authority"] != "") & (b["path"] == ""), F.lit("/")).otherwise(F.regexp_extract(b["path"], r"(?s)^(.*/)", 1))
-    merged = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(F.concat(folder, r["path"]))
-    whole = lambda *parts: F.concat(*parts, r["fragment"])
-    return (
-        F.when(r["scheme"] != "", whole(r["scheme"], r["authority"], without_dots(r["path"]), r["query"]))
-        .when(r["authority"] != "", whole(b["scheme"], r["authority"], without_dots(r["path"]), r["query"]))
-        .when(r["path"] == "", whole(b["scheme"], b["authority"], b["path"], F.when(r["query"] != "", r["query"]).otherwise(b["query"])))
-        .otherwise(whole(b["scheme"], b["authority"], without_dots(merged), r["query"]))
-    )
+
+    def of_parts(x: Column) -> Column:
+        b, r = x["base"], x["ref"]
+        folder = F.when((b["authority"] != "") & (b["path"] == ""), F.lit("/")).otherwise(F.regexp_extract(b["path"], r"(?s)^(.*/)", 1))
+        merged = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(F.concat(folder, r["path"]))
+        own = (r["scheme"] != "") | (r["authority"] != "")
+        stays = ~own & (r["path"] == "")
+        return F.concat(
+            F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"]),
+            F.when(own, r["authority"]).otherwise(b["authority"]),
+            F.when(stays, b["path"]).otherwise(without_dots(F.when(own, r["path"]).otherwise(merged))),
+            F.when(stays & (r["query"] == ""), b["query"]).otherwise(r["query"]),
+            r["fragment"],
+        )
+
+    return F.when(base.isNotNull() & reference.isNotNull(), once(F.struct(parts(base).alias("base"), parts(ref).alias("ref")), of_parts))
 
 
 def scheme(url: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.dom import attr, holder, joined_text, within
-from gleaner.functions.text import fold_accents
+from gleaner.functions.text import fold_accents, once
 from gleaner.functions.url import is_web, normalize_url, resolve
 
 #: Elements that are no text, marks of consent notices, and elements and roles that stand on every page of a site.
@@ -240,11 +240,11 @@ def page_links(nodes: DataFrame, pages: DataFrame, is_detail: Callable[[Column,
     link = (F.col("tag") == "a") & attr("href").isNotNull()
     flagged = nodes.select("page_id", "pre", "tag", "text", attr("href").alias("href"), holder(link).alias("link"))
     bases = flagged.where("tag = 'base' and href is not null").groupBy("page_id").agg(F.min_by("href", "pre").alias("base"))
-    at = pages.select("page_id", "url").join(bases, "page_id", "left").select("page_id", F.coalesce(F.when(is_web(resolve(F.col("url"), F.col("base"))), resolve(F.col("url"), F.col("base"))), "url").alias("base"))
+    at = pages.select("page_id", "url").join(bases, "page_id", "left").select("page_id", F.coalesce(once(resolve(F.col("url"), F.col("base")), lambda b: F.when(is_web(b), b)), "url").alias("base"))
     said = flagged.where("link is not null").groupBy("page_id", F.col("link").alias("pre")).agg(joined_text().alias("label"))
     hrefs = flagged.where((F.col("tag") == "a") & F.col("href").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("place") <= MOST_LINKS)
     named = hrefs.select("page_id", "pre", "place", "href").join(said, ["page_id", "pre"], "left").join(at, "page_id")
-    target = normalize_url(resolve(F.col("base"), F.col("href")))
+    target = once(resolve(F.col("base"), F.col("href")), lambda url: normalize_url(url))
     found = named.select("page_id", "place", target.alias("target"), F.coalesce("label", F.lit("")).alias("label")).where("target is not null")
     detail = is_detail(F.col("target"), F.col("label")) if is_detail else F.lit(False)
     listing = F.count(F.when(detail, F.lit(1))).over(Window.partitionBy("page_id")) >= LEAST_DETAILS
