@@ -12,7 +12,9 @@ training labels are the blocks of pages that name their parts (``article``,
 ``nav``, ``footer`` ...), in a sample of about ``SAMPLE_PAGES`` pages by hash.
 Ties are the log-odds that neighbours at a distance in the DOM have one label,
 counted in the same sample. What a page's markup says of a block is added to its
-cost as a bounded number, so a page without telling names is cut by text alone.
+cost as a bounded number, so a page without telling names is cut by text alone. Words
+of a class or id are no verdict: the more of the text they would take away on a page
+that names no article outside them, the less they count, down to nothing.
 """
 
 from __future__ import annotations
@@ -71,6 +73,9 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: What the markup adds to a block's log-odds of being content: marked as boilerplate, inside a marked article,
 #: outside it, named like content. The classifier's own part is at most ``TEXT_LIMIT`` either way.
 BOILER, CONTENT, OUTSIDE, NAMED, TEXT_LIMIT = -8.0, 3.5, -2.0, 1.0, 2.5
+#: A mark by words of a class or id alone counts in full while the element holds at most the first share of the text that could
+#: be the article, and not at all from the second on: where nearly all would go, the words name something else.
+WORD_SHARES = (0.25, 0.75)
 #: A tie is at most so strong, by distance in the DOM; distances from ``FAR`` on are one.
 TIE_LIMITS = (2.0, 2.0, 2.0, 1.0, 0.5, 0.3, 0.2)
 FAR = len(TIE_LIMITS) - 1
@@ -93,6 +98,10 @@ class Frame:
     content: bool = False
     link: bool = False
     skip: bool = False
+    #: The nearest element above that has such a mark of its own, and the blocks in this one: from the first to before the last.
+    marker: Frame | None = None
+    first: int = 0
+    last: int = 0
 
 
 @dataclass
@@ -105,13 +114,13 @@ class Block:
 
 def _frame(tag: str, source: str, above: Frame, number: int) -> Frame:
     up = above.up if above.tag in INLINE else above
-    f = Frame(tag, number, up, up.depth + (tag not in INLINE), above.named, above.boiler, above.soft, above.content, above.link or tag == "a", above.skip)
+    f = Frame(tag, number, up, up.depth + (tag not in INLINE), above.named, above.boiler, above.soft, above.content, above.link or tag == "a", above.skip, above.marker)
     if tag == "head":
         f.skip = True
     if tag in CONTENT_TAGS:
         f.content = True
         if f.soft:
-            f.boiler = f.soft = False
+            f.boiler, f.soft, f.marker = False, False, None
     if tag in BOILER_TAGS or (tag == "header" and not above.content):
         f.boiler, f.soft = True, False
     if "=" in source or "hidden" in source:
@@ -122,7 +131,7 @@ def _frame(tag: str, source: str, above: Frame, number: int) -> Frame:
                 if tokens & BOILER_WORDS and tag not in ("body", "html", "article", "main"):
                     # a header that names itself one inside an article holds the article's title
                     if not (above.content and tokens & BOILER_WORDS == {"header"}):
-                        f.boiler, f.soft = True, f.soft or not f.boiler
+                        f.boiler, f.soft, f.marker = True, f.soft or not f.boiler, f
                 elif tokens & CONTENT_WORDS and tag not in ("body", "html"):
                     f.named = True
             elif name == "role":
@@ -170,6 +179,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal current
         if any(f.tag not in INLINE for f in stack[place:]):
             current = None
+        for f in stack[place:]:
+            f.last = len(blocks)
         del stack[place:]
 
     while at < len(page):
@@ -229,6 +240,8 @@ def blocks_of(page: str) -> list[Block]:
                         break
         numbers += 1
         stack.append(_frame(tag, source, stack[-1], numbers))
+        stack[-1].first = len(blocks)
+    pop_to(0)
     return blocks
 
 
@@ -373,14 +386,35 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_blocks: int =
     return TextModel(tuple(weights), constant, tuple(ties))
 
 
+def word_strength(blocks: list[Block], texts: list[str]) -> list[float]:
+    """For each block how much a mark by words of a class or id counts, 0 to 1; 1 for blocks that have none.
+
+    The share is of the text that no element or role marks as boilerplate. Where an article, a main part or a part that is
+    named like content stands outside all such marks, they count in full.
+    """
+    open_text = [0 if b.frame.boiler and not b.frame.soft else len(t) for b, t in zip(blocks, texts, strict=True)]
+    if any(n and not b.frame.boiler and (b.frame.content or b.frame.named) for n, b in zip(open_text, blocks, strict=True)):
+        return [1.0] * len(blocks)
+    so_far = np.concatenate([[0], np.cumsum(open_text)])
+    low, high = WORD_SHARES
+
+    def of(f: Frame) -> float:
+        if not f.soft or f.marker is None:
+            return 1.0
+        share = (so_far[f.marker.last] - so_far[f.marker.first]) / max(1, so_far[-1])
+        return float(np.clip((high - share) / (high - low), 0.0, 1.0))
+
+    return [of(b.frame) for b in blocks]
+
+
 def costs_of(blocks: list[Block], texts: list[str], model: TextModel) -> np.ndarray:
     """Each block's log-odds of being content: the classifier's, and what the markup adds."""
     own = features(blocks, texts) @ np.array(model.weights) + model.constant
     has_content = any(b.frame.content and not b.frame.boiler for b in blocks)
-    marks = [
-        BOILER if f.boiler else (CONTENT if f.content else OUTSIDE if has_content else NAMED if f.named else 0.0)
-        for f in (b.frame for b in blocks)
-    ]
+    marks = []
+    for f, strength in zip((b.frame for b in blocks), word_strength(blocks, texts), strict=True):
+        other = CONTENT if f.content else OUTSIDE if has_content else NAMED if f.named else 0.0
+        marks.append(strength * BOILER + (1 - strength) * other if f.boiler else other)
     return np.clip(own, -TEXT_LIMIT, TEXT_LIMIT) + np.array(marks)
 
 
