@@ -10,6 +10,7 @@ from gleaner.functions.dom import nodes
 from gleaner.functions.text import normalize_words
 from gleaner.operators import companies as C
 from gleaner.operators import page_index as P
+from gleaner.operators.profiles import PROFILE, SOURCES, update_profiles
 from gleaner.operators.ranking import company_page_type
 from gleaner.operators.storage import materialize
 
@@ -60,6 +61,39 @@ def site_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("company", "kind", "key", "label", "related", "strength", F.array_join("evidence", " ").alias("evidence"), F.array_join("terms", ",").alias("terms"))
 
 
+def _profiles(pages: DataFrame, hits: DataFrame, at: str) -> DataFrame:
+    """Profiles of hosts from some of their pages: name, activities with evidence, and sources."""
+    met = hits.join(pages.select("page_id", "company", "url"), "page_id").withColumnRenamed("page_id", "ord")
+    entry = F.struct(
+        "kind", "concept", "label", "related", "strength", F.transform("evidence", lambda u: F.struct(u.alias("url"), F.lit(None).cast("string").alias("quote"))).alias("evidence")
+    )
+    concept = F.when(~F.contains("key", F.lit(":free:")), F.element_at(F.split("key", ":"), 2)).alias("concept")
+    # a company's activities are at most so many as the vocabulary has keys
+    listed = C.activities(met, "company").select("company", "kind", "key", concept, "label", "related", "strength", "evidence").groupBy("company").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("key", entry.alias("entry")))), lambda x: x["entry"]).alias("activities")
+    )
+    names = pages.where("title is not null").groupBy("company").agg(F.min_by("title", "page_id").alias("name"))
+    distinct = pages.groupBy("company", "url").agg(F.min("page_id").alias("page_id"))
+    first = C.first_of(distinct, ["company"], [F.col("page_id").asc()], SOURCES, F.col("page_id")).withColumn("source", F.struct("url", F.lit(at).alias("checked_at")))
+    sources = first.groupBy("company").agg(C.in_rank("source").alias("sources"))
+    found = pages.select("company").distinct().join(names, "company", "left").join(listed, "company", "left").join(sources, "company", "left")
+    return found.select("company", F.lit(at).alias("checked_at"), *(F.col(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in PROFILE.items()))
+
+
+def company_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of hosts, stored from two thirds of their pages and updated with what two thirds say, a third of them read again."""
+    pages, hits = _hits(spark, sf_dir)
+    hits = materialize(hits, "hits")
+    titles = hits.sparkSession.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), "&amp;?", "&")), F.lit("")).alias("title"))
+    named = materialize(pages.join(titles, "page_id", "left"), "named")
+    part = lambda df, left_out: df.where(F.col("page_id") % 3 != left_out)
+    found = update_profiles(_profiles(part(named, 2), part(hits, 2), "first"), _profiles(part(named, 0), part(hits, 0), "second"))
+    said = F.array_sort(F.transform("activities", lambda a: F.concat_ws(" ", a["kind"], F.coalesce(a["concept"], F.lit("free")), a["label"], a["related"].cast("string"), a["strength"], F.array_join(F.transform(a["evidence"], lambda e: e["url"]), " "))))
+    return found.select(
+        "company", "name", F.array_join(said, " | ").alias("activities"), F.size("sources").alias("sources"), F.array_join(F.transform("changes", lambda c: F.concat_ws(" -> ", c["previous"], c["current"])), ";").alias("changes"), "changed", "is_new"
+    )
+
+
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages as their base makes them, each also from the folder above, with dots, and without a scheme.
 
@@ -144,6 +178,26 @@ SELECT company, kind, key, arg_min(label, page_id) AS label, arg_min(related, pa
   CASE WHEN NOT bool_or(related) AND (CASE WHEN kind = 'customer_sector' THEN bool_or(supply) ELSE bool_or(structural) OR sum(sentences) >= 2 END) THEN 'strong' ELSE 'weak' END AS strength,
   array_to_string((list(url ORDER BY supply DESC, structural DESC, "count" DESC, page_id))[1:3], ' ') AS evidence, max(ts) AS terms
 FROM own JOIN (SELECT company, kind, key, array_to_string((list(term ORDER BY o, term))[1:5], ',') AS ts FROM spelt GROUP BY ALL) USING (company, kind, key) GROUP BY company, kind, key""",
+    "company_update": f"""WITH {_PARTS}, {_HITS}, titled AS (SELECT r.page_id, company, r.url, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')), '') AS title
+    FROM raw r JOIN pages USING (page_id)),
+sides AS (SELECT * FROM (VALUES ('s', 2), ('n', 0)) v(side, gap)),
+own AS (SELECT side, h.*, company, url FROM hits h JOIN raw USING (page_id) JOIN sides ON page_id % 3 <> gap),
+acts AS (SELECT side, company, kind, key, arg_min(label, page_id) AS label, arg_min(concept, page_id) AS concept, arg_min(related, page_id) AS related,
+  CASE WHEN NOT bool_or(related) AND (CASE WHEN kind = 'customer_sector' THEN bool_or(supply) ELSE bool_or(structural) OR sum(sentences) >= 2 END) THEN 'strong' ELSE 'weak' END AS strength,
+  (list(url ORDER BY supply DESC, structural DESC, "count" DESC, page_id))[1:3] AS ev FROM own GROUP BY side, company, kind, key),
+a AS (SELECT * FROM acts WHERE side = 's'), b AS (SELECT * FROM acts WHERE side = 'n'),
+m AS (SELECT coalesce(a.company, b.company) AS company, coalesce(a.kind, b.kind) AS kind, coalesce(a.concept, b.concept, 'free') AS concept, coalesce(a.label, b.label) AS label, coalesce(a.related, b.related) AS related,
+    CASE WHEN a.key IS NULL THEN b.strength WHEN b.key IS NULL THEN a.strength WHEN b.strength = 'strong' OR len(list_filter(a.ev, lambda u: NOT list_contains(b.ev, u))) = 0 THEN b.strength ELSE a.strength END AS strength,
+    CASE WHEN a.key IS NULL THEN b.ev WHEN b.key IS NULL THEN a.ev ELSE list_concat(a.ev, list_filter(b.ev, lambda u: NOT list_contains(a.ev, u)))[1:5] END AS ev, a.key IS NOT NULL AS had, a.strength AS was, a.ev AS ev_was
+  FROM a FULL JOIN b ON a.company = b.company AND a.key = b.key),
+listed AS (SELECT company, array_to_string(list_sort(list(kind || ' ' || concept || ' ' || label || ' ' || CAST(related AS VARCHAR) || ' ' || strength || ' ' || array_to_string(ev, ' '))), ' | ') AS activities,
+    bool_or(NOT had OR was <> strength OR ev <> ev_was) AS news FROM m GROUP BY company),
+p AS (SELECT side, company, arg_min(title, page_id) FILTER (title IS NOT NULL) AS name, list_distinct(list(url)) AS urls FROM titled JOIN sides ON page_id % 3 <> gap GROUP BY side, company),
+j AS (SELECT coalesce(x.company, y.company) AS company, x.name AS old, y.name AS new, x.company IS NOT NULL AS had, y.company IS NOT NULL AS found,
+    len(list_distinct(list_concat(coalesce(x.urls, []), coalesce(y.urls, [])))) AS n, len(coalesce(x.urls, [])) AS n_old
+  FROM (SELECT * FROM p WHERE side = 's') x FULL JOIN (SELECT * FROM p WHERE side = 'n') y ON x.company = y.company)
+SELECT company, coalesce(new, old) AS name, coalesce(activities, '') AS activities, least(n, 60) AS sources, CASE WHEN had AND old <> new THEN old || ' -> ' || new ELSE '' END AS changes,
+  CASE WHEN had AND found THEN coalesce(old <> new, old IS NULL AND new IS NOT NULL) OR coalesce(news, false) OR (n > n_old AND n_old < 60) ELSE found END AS changed, NOT had AS is_new FROM j LEFT JOIN listed USING (company)""",
     "resolved_links": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+:)', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
     CASE WHEN page_id % 2 = 0 THEN '/base/of/pages' ELSE coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') END AS path, html FROM pages),
 f AS (SELECT page_id, scheme, host, regexp_extract(path, '^(.*/)', 1) AS dir, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS t, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1)) AS said FROM p),
@@ -164,4 +218,4 @@ SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS description, NULL::
   length(trim(regexp_replace(nav || ' ' || content || ' ' || foot, '\s+', ' ', 'g'))) AS n_chars FROM t""",
 }
 
-QUERIES = {f.__name__: f for f in (page_term_hits, site_activities, page_statements, resolved_links)}
+QUERIES = {f.__name__: f for f in (page_term_hits, site_activities, page_statements, resolved_links, company_update)}
