@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from gleaner.plans import companies, display, evidence, feeds, markup, notices, records, runs, searches, statements, statistics, stores, web
+from gleaner.plans import companies, display, evidence, feeds, markup, notices, pages, records, runs, searches, statements, statistics, stores, versions, web
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies, display, markup, searches, evidence) for k, v in m.ORACLES.items()}
-QUERIES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies, display, markup, searches, evidence) for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies, display, markup, searches, evidence, pages, versions) for k, v in m.ORACLES.items()}
+QUERIES = {k: v for m in (records, web, stores, feeds, runs, notices, statements, statistics, companies, display, markup, searches, evidence, pages, versions) for k, v in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
