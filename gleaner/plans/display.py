@@ -83,12 +83,12 @@ def pairs_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cursor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each site's candidates as a cursor, and what a later run takes from it."""
+    """What is left of each site's hundred candidates as a cursor, and what a later run takes from it."""
     n = F.col("p_partkey")
-    c = table(spark, sf_dir, "part").where("p_partkey <= 2000").select(
-        (n % 20).alias("site"), n.alias("ord"), F.concat(_pick(n % 4, "https://", "ftp://", "http://", "https://u:p@"), F.lit("d"), (n % 60).cast("string"), F.lit(".nl/x")).alias("url"), F.concat(F.lit("d"), (n % 60).cast("string"), F.lit(".nl")).alias("domain")
+    c = table(spark, sf_dir, "part").select(
+        F.floor(n / 100).alias("site"), n.alias("ord"), F.concat(_pick(n % 4, "https://", "ftp://", "http://", "https://u:p@"), F.lit("d"), (n % 60).cast("string"), F.lit(".nl/x")).alias("url"), F.concat(F.lit("d"), (n % 60).cast("string"), F.lit(".nl")).alias("domain")
     )
-    listed = c.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", "domain"))), lambda x: F.struct(x["url"].alias("url"), x["domain"].alias("domain"))).alias("c"))  # a site's part of 2,000 rows
+    listed = c.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", "domain"))), lambda x: F.struct(x["url"].alias("url"), x["domain"].alias("domain"))).alias("c"))  # a hundred at most
     read = D.read_cursor(D.cursor_json(F.col("c")), F.array(F.lit("d8.nl"), F.lit("d30.nl")))
     return listed.select("site", F.array_join(F.transform(read, lambda x: x["domain"]), ",").alias("domains"))
 
@@ -195,7 +195,7 @@ ORACLES = {
       SELECT k AS o_orderkey, CAST(coalesce(list_sum(list_transform(yes, lambda x: CAST(x[3] AS INTEGER))), 0) AS INTEGER) AS score, array_to_string(list_transform(yes, lambda x: x[1]), ',') AS present, CAST(8 - len(yes) AS INTEGER) AS missing FROM f""",
     "record_envelopes": f"WITH {FACTS_SQL} SELECT ord, coalesce(title, company) AS name, location, salary, CAST(CASE WHEN email IS NULL THEN 0 ELSE 1 END AS INTEGER) AS contacts, source_url AS url FROM facts",
     "pairs_to_map": """SELECT l_suppkey, string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) AS flags FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""",
-    "cursor_round_trip": """WITH s AS (SELECT DISTINCT p_partkey % 20 AS site FROM part WHERE p_partkey <= 2000), c AS (SELECT p_partkey % 20 AS site, p_partkey % 60 AS d, min(p_partkey) AS o FROM part WHERE p_partkey <= 2000 AND p_partkey % 4 IN (0, 2) AND p_partkey % 60 NOT IN (8, 30) GROUP BY 1, 2)
+    "cursor_round_trip": """WITH s AS (SELECT DISTINCT p_partkey // 100 AS site FROM part), c AS (SELECT p_partkey // 100 AS site, p_partkey % 60 AS d, min(p_partkey) AS o FROM part WHERE p_partkey % 4 IN (0, 2) AND p_partkey % 60 NOT IN (8, 30) GROUP BY 1, 2)
       SELECT site, coalesce(string_agg('d' || d || '.nl', ',' ORDER BY o), '') AS domains FROM s LEFT JOIN c USING (site) GROUP BY 1""",
     "search_terms": r"""WITH w AS (SELECT doc_id, regexp_split_to_array(translate(lower(split_part(text, chr(10), 1) || ' ' || source), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+') AS w FROM documents),
       u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w), f AS (SELECT doc_id, w[i] AS t, min(i) AS o FROM u WHERE length(w[i]) >= 3 GROUP BY 1, 2)

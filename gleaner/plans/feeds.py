@@ -65,7 +65,7 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four documents in a row are versions of one item; they come as a stream, and each is compared with the one before."""
     out, log = new_path(spark, "changes"), new_path(spark, "changes-log")
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    found = changes(docs.withColumn("item", F.floor(F.col("doc_id") / 4)), "item", "lang", "doc_id")
+    found = changes(docs.withColumn("item", F.floor(F.col("doc_id") / 4)), "item", "text", "doc_id")
     query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).select(F.col("ord").alias("doc_id"), "state")
@@ -98,6 +98,6 @@ ORACLES = {
     "public_addresses": """WITH a AS (SELECT p_partkey, p_partkey * 7 % 256 AS a, p_partkey * 31 % 256 AS b, p_partkey * 3 % 256 AS c FROM part)
       SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 = 6 AND false OR p_partkey % 9 IN (2, 5) ELSE NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254)
         OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) END AS public FROM a""",
-    "change_stream": """SELECT doc_id, CASE WHEN b IS NULL THEN 'new' WHEN b IS NOT DISTINCT FROM lang THEN 'unchanged' ELSE 'changed' END AS state
-      FROM (SELECT doc_id, lang, lag(lang) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS b FROM documents)""",
+    "change_stream": """SELECT doc_id, CASE WHEN b IS NULL THEN 'new' WHEN b IS NOT DISTINCT FROM text THEN 'unchanged' ELSE 'changed' END AS state
+      FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS b FROM documents)""",
 }

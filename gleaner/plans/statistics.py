@@ -12,6 +12,7 @@ from gleaner.functions.text import dedupe_key
 from gleaner.operators import dedupe, funnel
 from gleaner.operators import statistics as S
 from gleaner.operators.scoring import score
+from gleaner.operators.storage import materialize
 
 from .records import _POINTS_SQL, NOW, completeness_rules
 from .tables import FACTS_SQL, document_facts, table
@@ -185,7 +186,8 @@ def vacancy_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     New records beyond 20 of a source, the best first, are cut by its target.
     """
-    done = vacancy_outcomes(spark, sf_dir)
+    # both the facts and the sites read it
+    done = materialize(vacancy_outcomes(spark, sf_dir).select("ord", "company", "points", "outcome"), "outcomes")
     place = F.row_number().over(Window.partitionBy("company", "outcome").orderBy(F.col("points").desc(), "ord"))
     facts = done.select(F.col("company").alias("site"), (F.col("ord") % 9 != 0).alias("relevant"), "outcome", (place <= 20).alias("stored"))
     n = F.count(F.lit(1))
