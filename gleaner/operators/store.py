@@ -169,6 +169,12 @@ def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
     return each.groupBy("run").agg(F.max_by("attempt", "version").alias("attempt"), F.max("version").alias("version"))
 
 
+def committed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(run): the names of all committed runs."""
+    found = _manifests(spark, folder)
+    return found.select("run") if found is not None else spark.createDataFrame([], "run string")
+
+
 def run_version(spark: SparkSession, folder: str, run: str) -> int:
     """The version of a run that readers see; 0 for none."""
     found = _manifests(spark, folder)
