@@ -13,7 +13,7 @@ from gleaner.operators import matching, ranking
 from .tables import LINKS_SQL, links, table
 
 #: Hosts whose search results are not candidates.
-EXCLUDED_HOSTS = r"(?:^|\.)(?:google|bing|yahoo|duckduckgo|doubleclick|googleadservices)\.[a-z.]+$"
+EXCLUDED_HOSTS = r"(?:^|\.)(?:google|bing|yahoo|duckduckgo|baidu|yandex|doubleclick|googlesyndication|googleadservices)\.[a-z.]+$|(?:^|\.)search\.brave\.com$"
 #: Kinds of hosts that are not the site of a company.
 HOST_KINDS = [("directory", "example.org"), ("social", "facebook.com"), ("news", "example.net")]
 
@@ -211,7 +211,7 @@ QUERIES = {
 ORACLES = {
     "url_normalize": _URLS_SQL + f"SELECT page_id, {_normal_sql(_CRAWL)} AS crawl_url, {_normal_sql(_SEARCH)} AS search_url FROM u",
     "candidate_dedupe_cap": _URLS_SQL
-    + f""", n AS (SELECT page_id, {_normal_sql(_SEARCH)} AS url FROM u WHERE NOT regexp_matches(host, '(?:^|\\.)(?:google|bing|yahoo|duckduckgo|doubleclick|googleadservices)\\.[a-z.]+$')),
+    + f""", n AS (SELECT page_id, {_normal_sql(_SEARCH)} AS url FROM u WHERE NOT regexp_matches(host, '{EXCLUDED_HOSTS}')),
       f AS (SELECT min(page_id) AS page_id, arg_min(url, page_id) AS url FROM n GROUP BY lower(url)) SELECT * FROM f ORDER BY page_id LIMIT 60""",
     "registrable_domain_rollup": """WITH h AS (SELECT page_id, url, string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www[0-9]?\\.', ''), '.') AS l FROM pages)
       SELECT CASE WHEN len(l) <= 2 THEN array_to_string(l, '.') ELSE l[len(l) - 1] || '.' || l[len(l)] END AS domain, count(*) AS results, min(page_id) AS first_page, arg_min(url, page_id) AS first_url
