@@ -39,7 +39,8 @@ def _begin(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
     rows = rows.withColumn("digit", octets(F.col("row")["text"], 0, width))
     counted = rows.groupBy(F.col("size").alias("met"), F.col("digit").alias("same")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(counted, "digits")  # a table of its own, so that Spark may split the partition of a large group
+    # a table of its own, so that Spark may split the partition of a large group; merged at any size, for no bound holds for it
+    shared = materialize(counted, "digits").hint("merge")
     split = rows.join(shared, (F.col("size") == F.col("met")) & (F.col("digit") == F.col("same")), "left")
     number = F.monotonically_increasing_id().alias("number")
     return split.select("row", "doc_id", "size", number, F.col("size").alias("group"), F.col("n").isNotNull().alias("open"))
@@ -56,7 +57,7 @@ def _split(rows: DataFrame, start: int, width: int) -> DataFrame:
     counted = rows.groupBy(F.col("group").alias("met"), F.col("digit").alias("same")).agg(
         F.count(F.lit(1)).alias("n"), F.min("number").alias("least"), F.max(F.struct("doc_id", "number")).alias("last")
     )
-    groups = materialize(counted, "digits")
+    groups = materialize(counted, "digits").hint("merge")
     split = rows.join(groups, (F.col("group") == F.col("met")) & (F.col("digit") == F.col("same")))
     more = (F.col("n") > 1) & (F.col("size") > start + width)
     return split.select("row", "doc_id", "size", "number", F.col("least").alias("group"), "n", "last", more.alias("open"))
