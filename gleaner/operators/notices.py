@@ -169,12 +169,13 @@ def _facts_of_notice(f: Column) -> Column:
 def map_notices(notices: DataFrame, json: str = "json") -> DataFrame:
     """Tender facts of notices whose fields are lists with one entry a lot; a notice without a number gives no row.
 
-    Codes and places lose repeats, the deadline is the earliest. Further columns stay in front. A notice is parsed
-    once: its fields are a variable of the expression that makes the facts.
+    Codes and places lose repeats, the deadline is the earliest. Further columns stay in front. A notice is parsed once.
     """
     others = [c for c in notices.columns if c != json]
-    facts = once(fields_of(F.col(json)), lambda f: F.when(clean(F.try_element_at(f, F.lit("publication-number")), 20).isNotNull(), _facts_of_notice(f)))
-    return notices.select(*others, F.inline(F.array_compact(F.array(facts))))
+    # a generator's output is a column of its own, which later expressions read and never work out again
+    parsed = notices.select(*others, F.explode(F.array(fields_of(F.col(json)))).alias("f"))
+    facts = parsed.select(*others, F.explode(F.array(_facts_of_notice(F.col("f")))).alias("facts"))
+    return facts.select(*others, "facts.*").where("publication_id is not null")
 
 
 def _coded(raw: Column) -> tuple[Column, Column]:
