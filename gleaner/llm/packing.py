@@ -14,6 +14,7 @@ shards on the next level.
 
 from __future__ import annotations
 
+import codecs
 import os
 import random
 import re
@@ -56,21 +57,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words of Latin letters only, without those whose lower case is more than one character.
-LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
+#: Latin letters, without those whose lower case is more than one character.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+LATIN = re.compile(f"[{LETTERS}]+")
 #: How byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Characters that the tokenizer parts from letters before them.
-MARKS = ".,;:!?#*$%&|<>()[]{}\"/=+@^~`"
+_SPELLED = "".join(chr(BYTE_SIGNS.get(b, b)) for b in range(256))
+#: A letter and a character that the tokenizer parts from letters before it.
+MARKED = rf"([{LETTERS}])([.,;:!?#*$%&|<>()\[\]{{}}\"/=+@^~`])"
+#: What all special tokens begin with; their spelling counts.
+SPECIAL = "<|"
+#: Parts whose ids a Python worker keeps, at about 200 bytes each; a batch has some 80,000.
+KNOWN_PARTS = 500_000
 
 
-def split_marks(word: str) -> tuple[str, ...]:
-    """Letters and the marks after them, which the tokenizer never joins; ASCII letters in lower case, as it reads them."""
-    if word.isascii() and "<|" not in word:  # a special token has its own spelling
-        word = word.lower()
-    core = word.rstrip(MARKS)
-    return (core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and "İ" not in core else (word,)
+def parts_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Text numbers and parts, whose ids in turn are those of the texts.
+
+    Words are parted at white space and before marks that follow a letter, as the tokenizer does itself, and those
+    of ASCII alone are in lower case, as it reads them; with other characters a lower letter may compose otherwise.
+    """
+    texts = pc.fill_null(texts, "")
+    spaced = pc.replace_substring_regex(texts, pattern=MARKED, replacement=r"\1 \2")
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, SPECIAL), texts, spaced))
+    flat = pc.list_flatten(words)
+    plain = pc.and_not(pc.string_is_ascii(flat), pc.match_substring(flat, SPECIAL))
+    return np.asarray(pc.list_parent_indices(words)), pc.if_else(plain, pc.ascii_lower(flat), flat)
 
 
 def word_codes(path: str) -> WordCodes:
@@ -89,18 +102,21 @@ def word_codes(path: str) -> WordCodes:
         out: list[list[int]] = [[]] * len(parts)
         rest = []
         for i, part in enumerate(parts):
-            if LATIN.fullmatch(part) and unicodedata.is_normalized("NFC", part):
-                # one pre-token: the model alone gives its ids
-                spelled = part.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-                out[i] = [t.id for t in model.tokenize(spelled)]
+            # of letters only, it is one pre-token: the model alone gives its ids
+            if part.isascii() and part.isalpha():
+                spelled = part.lower()
+            elif LATIN.fullmatch(part) and unicodedata.is_normalized("NFC", part):
+                spelled = codecs.charmap_decode(part.lower().encode(), "strict", _SPELLED)[0]
             else:
                 rest.append(i)
+                continue
+            out[i] = [t.id for t in model.tokenize(spelled)]
         encoded = tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)
         for i, e in zip(rest, encoded, strict=True):
             out[i] = e.ids
         return out
 
-    return WordCodes(encode_parts, split_marks)
+    return WordCodes(encode_parts, KNOWN_PARTS)
 
 
 _encoders: dict[str, WordCodes] = {}
@@ -117,9 +133,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
         for batch in batches:
             for at, n in slices(batch.column("text")):
                 part = batch.slice(at, n)
-                words = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
-                owner = np.asarray(pc.list_parent_indices(words))
-                ids, starts = _encoders[path].expand(owner, pc.list_flatten(words), n)
+                ids, starts = _encoders[path].expand(*parts_of(part.column("text")), n)
                 row, piece, start, length, pieces = [], [], [], [], []
                 for i in range(n):
                     own = np.append(ids[starts[i] : starts[i + 1]], np.uint32(END))

@@ -4,42 +4,30 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PARTS = 150_000
+CACHE_WORDS = 150_000
 
 
 class WordCodes:
-    """Ids of words, put together from those of their parts, of which a bounded number is kept between batches.
+    """Ids of words, of which a bounded number is kept between batches; ``encode_words`` gives those of new ones."""
 
-    ``split`` gives the parts of a word (by default the word itself), ``encode_parts`` the ids of new parts.
-    """
-
-    def __init__(
-        self,
-        encode_parts: Callable[[list[str]], list[list[int]]],
-        split: Callable[[str], tuple[str, ...]] = lambda word: (word,),
-        most: int = CACHE_PARTS,
-    ) -> None:
-        self.encode_parts, self.split, self.most = encode_parts, split, most
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
+        self.encode_words, self.most = encode_words, most
         self.known: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words in a row, and where each word's ids start."""
-        parts = [self.split(w) for w in words]
         known = self.known
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        ids = self.encode_parts(new) if new else []
-        fresh = {p: array("I", i).tobytes() for p, i in zip(new, ids, strict=True)}
-        if len(known) + len(fresh) > self.most:  # only what this batch needs stays
-            known = {p: known[p] for p in set(chain.from_iterable(parts)).difference(fresh)}
-            self.known = known
-        known.update(fresh)
-        cut = [known[w[0]] if len(w) == 1 else b"".join([known[p] for p in w]) for w in parts]
+        new = [w for w in words if w not in known]
+        ids = self.encode_words(new) if new else []
+        if len(known) + len(new) > self.most:  # only what this batch needs stays
+            known = self.known = {w: known[w] for w in words if w in known}
+        known.update((w, array("I", i).tobytes()) for w, i in zip(new, ids, strict=True))
+        cut = [known[w] for w in words]
         lengths = np.fromiter(map(len, cut), np.int64, len(cut)) // 4
         return np.frombuffer(b"".join(cut), np.uint32), np.concatenate([[0], np.cumsum(lengths)])
 

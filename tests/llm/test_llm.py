@@ -378,6 +378,37 @@ def test_word_codes_equal_the_tokenizer():
         assert ids[at[i] : at[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_parts_of_texts_equal_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, codes = Tokenizer.from_file(packing.tokenizer_path()), packing.word_codes(packing.tokenizer_path())
+    rng = random.Random(2)
+    pieces = [*"aABzÉéßİΣσςǅµªŉĀœ日한'’.,;:!?#*$%&|<>()[]{}\"/=+@^~`-_019 \n\x0b\x85\xa0", "H\u0331", "I\u0307", "=\u0338", "<\u0338", "e\u0301", "'S", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["It's, it'S. a.b.c", "a<|endoftext|>. B,", "A<|startoftext|>B. ÉA.", ".,", " ", "", "a" * 5000 + "." * 5000]
+    ids, at = codes.expand(*packing.parts_of(pa.array([*texts, None])), len(texts) + 1)
+    for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == e.ids, texts[i]
+    assert at[-2] == at[-1] == len(ids)
+
+
+def test_parts_stay_known_over_batches():
+    import pyarrow as pa
+
+    codes = packing.word_codes(packing.tokenizer_path())
+    encode, asked = codes.encode_words, []
+    codes.encode_words = lambda words: asked.append(len(words)) or encode(words)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    batches = [pa.array([f"{n:06}".translate(letters) for n in range(at, at + 80_000)]) for at in (0, 80_000, 0, 160_000, 80_000)]
+    for batch in batches:
+        codes.expand(np.arange(len(batch)), batch, len(batch))
+    assert sum(asked) == 240_000
+    codes.most = 100_000
+    codes.expand(np.arange(3), pa.array(["new", "aaaaaa", "new"]), 3)
+    assert set(codes.known) == {"new", "aaaaaa"}
+
+
 def test_language_id(spark, docs, rows, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 600")
     model = language_id.fit(d, ~language_id.held_out())
