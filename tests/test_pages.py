@@ -1,5 +1,7 @@
 """Pages as node tables, and what company pages say of a vocabulary, on literal pages."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,24 @@ def test_first_of(spark):
     rows = spark.range(2000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     got = companies.first_of(rows, ["k"], [F.col("v").desc()], 3, F.col("v")).groupBy("k").agg(companies.in_rank("v").alias("v")).collect()
     assert {r.k: r.v for r in got} == {0: [1998, 1996, 1994], 1: [1999, 1997, 1995]}
+
+
+def test_hits_without_quotes_and_by_a_shuffle(spark, tree, monkeypatch):
+    """Companies' hits need no sentences; a vocabulary too large for every task gives the same hits."""
+    pages = spark.createDataFrame([(1, "/sectoren/camera-systemen", "sectors", "Slotenmaker Jansen"), (3, "/x", "other", None), (4, "/sloten", "other", None)], "page_id long, path string, page_type string, title string")
+    specs = page_index.term_specs(spark.createDataFrame(CONCEPTS, "kind string, concept string, label string, place int, term string, related boolean"))
+    units = page_index.page_units(page_index.page_regions(tree), pages, F.col("path")).cache()
+    rows = lambda df: sorted(map(tuple, df.drop("quote").collect()), key=repr)
+    whole, bare = page_index.page_term_hits(units, pages, specs), page_index.page_term_hits(units, pages.drop("title"), specs, quotes=False)
+    assert rows(whole) == rows(bare) and {r[0] for r in rows(bare)} == {1, 4}  # page 4 has an address only
+    monkeypatch.setattr(page_index, "FEW_SPELLINGS", 0)
+    assert sorted(map(tuple, page_index.page_term_hits(units, pages, specs).collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_cues_at_once():
+    """Looking for all cues at a word's start together finds what each by itself finds."""
+    texts = ["wij werken voor de ", "levert aan onder meer ", "xvoor ", "klanten, ", "o.a. grote ", "zoals ", "voor een twee drie vier ", "voor een twee drie vier vijf ", "to the ", "onto ", "", "van onze grote ", "_voor "]
+    java = lambda p: re.compile(p.replace(r"\p{L}", "a-zà-ÿ"))
+    for pattern, cues in ((page_index.SUPPLY, page_index.SUPPLY_CUES), (page_index.OTHERS, [rf"\b{c}" for c in page_index.OTHERS_CUES])):
+        one, together = java(pattern), java(page_index._at_once(pattern, cues))
+        assert one.pattern != together.pattern and [bool(one.search(t)) for t in texts] == [bool(together.search(t)) for t in texts]
