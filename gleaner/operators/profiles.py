@@ -42,25 +42,43 @@ def changed_in_place(old: Column, new: Column, same: Same, take: Callable[[Colum
     return F.transform(old, lambda o: F.when(F.exists(new, lambda n: same(o, n)), take(o, partner(o))).otherwise(o))
 
 
-def _same_activity(a: Column, b: Column) -> Column:
-    named = F.when(b["concept"].isNotNull(), a["concept"].eqNullSafe(b["concept"])).otherwise(a["label"].eqNullSafe(b["label"]))
-    return a["kind"].eqNullSafe(b["kind"]) & F.coalesce(a["related"], F.lit(False)).eqNullSafe(F.coalesce(b["related"], F.lit(False))) & named
+def _activity_key(entry: Column, what: str) -> Column:
+    """What activities are the same by: ``concept`` or, where a new one has none, ``label``, each of a kind, related or not."""
+    return F.struct(entry["kind"].alias("kind"), F.coalesce(entry["related"], F.lit(False)).alias("related"), F.lit(what).alias("what"), entry[what].alias("value"))
 
 
-def merge_activities(old: Column, new: Column) -> Column:
-    """Activities of both. Strong evidence always counts; weak replaces the stored judgement only if all pages that it
-    rested on were read again. Evidence of further pages is added, up to five pieces in all."""
+def _merge_activity(o: Column, n: Column) -> Column:
     by_url: Same = lambda a, b: a["url"].eqNullSafe(b["url"])
+    again = F.forall(o["evidence"], lambda e: F.exists(n["evidence"], lambda q: by_url(e, q)))
+    strength = F.when((n["strength"] == "strong") | again, n["strength"]).otherwise(o["strength"])
+    return F.struct(
+        o["kind"].alias("kind"), o["concept"].alias("concept"), o["label"].alias("label"), o["related"].alias("related"),
+        strength.alias("strength"), F.slice(added(o["evidence"], n["evidence"], by_url), 1, EVIDENCE).alias("evidence"),
+    )
 
-    def take(o: Column, n: Column) -> Column:
-        again = F.forall(o["evidence"], lambda e: F.exists(n["evidence"], lambda q: by_url(e, q)))
-        strength = F.when((n["strength"] == "strong") | again, n["strength"]).otherwise(o["strength"])
-        return F.struct(
-            o["kind"].alias("kind"), o["concept"].alias("concept"), o["label"].alias("label"), o["related"].alias("related"),
-            strength.alias("strength"), F.slice(added(o["evidence"], n["evidence"], by_url), 1, EVIDENCE).alias("evidence"),
-        )
 
-    return added(changed_in_place(old, new, _same_activity, take), new, _same_activity)
+def merge_activities(stored: DataFrame, incoming: DataFrame, by: str) -> DataFrame:
+    """(``by``, merged): activities of both, the stored ones first. Strong evidence always counts; weak replaces the stored judgement only
+    if all pages that it rested on were read again. Evidence of further pages is added, up to five pieces in all.
+
+    Activities meet by joins on their keys, so a company with many costs no more than their number. A stored one answers to
+    its concept and to its label and takes the first new one that asks for either; of new ones that are the same the first counts.
+    """
+    entry, at = F.col("entry"), F.col("at")
+    listed = lambda df: df.select(by, F.posexplode("activities").alias("at", "entry"))
+    # an activity answers to its label, and to its concept if it has one; a new one asks for its concept, else for its label
+    names = F.array(_activity_key(entry, "label"), F.when(entry["concept"].isNotNull(), _activity_key(entry, "concept")))
+    answers = lambda df: df.select("*", F.explode(names).alias("key")).where("key is not null")
+    asks = F.when(entry["concept"].isNotNull(), _activity_key(entry, "concept")).otherwise(_activity_key(entry, "label"))
+    old, new = listed(stored), listed(incoming)
+    asked = answers(new).withColumn("asking", F.col("key") == asks).groupBy(by, "key").agg(
+        F.min("at").alias("answer"), F.min(F.when(F.col("asking"), at)).alias("first"), F.min_by("entry", F.when(F.col("asking"), at)).alias("found")
+    ).where(F.col("first").isNotNull())
+    known = answers(old)
+    met = known.join(asked, [by, "key"]).groupBy(by, "at").agg(F.min_by("found", "first").alias("found"))
+    kept = old.join(met, [by, "at"], "left").select(by, F.lit(0).alias("turn"), "at", F.when(F.col("found").isNull(), entry).otherwise(_merge_activity(entry, F.col("found"))).alias("entry"))
+    fresh = asked.where("first = answer").join(known.select(by, "key").distinct(), [by, "key"], "left_anti").select(by, F.lit(1).alias("turn"), F.col("first").alias("at"), F.col("found").alias("entry"))
+    return kept.unionByName(fresh).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "at", "entry"))), lambda x: x["entry"]).alias("merged"))
 
 
 def _same_place(a: Column, b: Column) -> Column:
@@ -77,7 +95,9 @@ def update_profiles(stored: DataFrame, incoming: DataFrame, by: str = "company")
     run says nothing new; dates of check are no news, so the same run twice changes nothing. Missing lists are empty.
     """
     whole = lambda df: df.select(by, "checked_at", *((F.coalesce(F.col(c), F.array().cast(t)) if t.startswith("array") else F.col(c)).alias(c) for c, t in PROFILE.items()))
-    s, n = whole(stored).alias("s"), whole(incoming).alias("n")
+    s, n = whole(stored), whole(incoming)
+    m = merge_activities(s, n, by).alias("m")
+    s, n = s.alias("s"), n.alias("n")
     old, new = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"n.{c}"))
     at = new("checked_at")
     differs = lambda c: new(c).isNotNull() & old(c).isNotNull() & (new(c) != old(c))
@@ -92,7 +112,7 @@ def update_profiles(stored: DataFrame, incoming: DataFrame, by: str = "company")
     seen = lambda o, x: F.struct(o["url"].alias("url"), at.alias("checked_at"))
     merged = {c: F.coalesce(new(c), old(c)) for c in SINGLE} | {
         "trade_names": F.slice(F.array_distinct(F.concat(old("trade_names"), new("trade_names"))), 1, TRADE_NAMES),
-        "activities": merge_activities(old("activities"), new("activities")),
+        "activities": F.coalesce(F.col("m.merged"), F.array().cast(PROFILE["activities"])),
         "types": added(changed_in_place(old("types"), new("types"), by_type, stronger), new("types"), by_type),
         "locations": F.slice(added(changed_in_place(old("locations"), new("locations"), _same_place, placed), new("locations"), _same_place), 1, LOCATIONS),
         "areas": F.slice(added(old("areas"), new("areas"), by_area), 1, AREAS),
@@ -107,7 +127,7 @@ def update_profiles(stored: DataFrame, incoming: DataFrame, by: str = "company")
     same = F.lit(True)
     for c, v in merged.items():
         same = same & lasting(c, v).eqNullSafe(lasting(c, old(c)))
-    return s.join(n, old(by) == new(by), "full").select(
+    return s.join(n, old(by) == new(by), "full").join(m, F.coalesce(old(by), new(by)) == F.col(f"m.{by}"), "left").select(
         F.coalesce(old(by), new(by)).alias(by),
         F.coalesce(new("checked_at"), old("checked_at")).alias("checked_at"),
         *(F.when(both, v).when(had, old(c)).otherwise(new(c)).alias(c) for c, v in merged.items()),

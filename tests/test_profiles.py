@@ -67,3 +67,18 @@ def test_bounds(spark):
     r = profiles.update_profiles(stored, incoming).collect()[0]
     assert len(r.changes) == 50 and r.changes[-1].current == "51" and r.changes[0].previous == "1" and len(r.sources) == 60
     assert profiles.update_profiles(stored.limit(0), incoming.limit(0)).count() == 0
+
+
+def test_many_activities(spark):
+    """A company with thousands of activities: each new one meets its stored one by its key."""
+    n = 3000
+    half = n // 2
+    stored = [activity(f"c{i}", "weak", f"p{i}") for i in range(n)]
+    incoming = [activity(f"c{i}", "strong", f"q{i}") for i in range(half, n + half)] + [activity(f"c{half}", "weak", "twice"), activity(None, "strong", "own", label="L"), activity(None, "weak", "own", label="vrij"), activity(None, "weak", "later", label="vrij")]
+    tables = [spark.createDataFrame([profile("a", at, activities=a)], SCHEMA) for at, a in (("t1", stored), ("t2", incoming))]
+    found = profiles.update_profiles(*tables).collect()[0].activities
+    assert [a.concept for a in found] == [f"c{i}" for i in range(n + half)] + [None]
+    # the new one without a concept is the first that those of its label meet, where no new one has their concept
+    assert (found[0].strength, [e.url for e in found[0].evidence]) == ("strong", ["p0", "own"])
+    assert (found[half].strength, [e.url for e in found[half].evidence]) == ("strong", [f"p{half}", f"q{half}"])
+    assert (found[n].strength, found[-1].label, [e.url for e in found[-1].evidence]) == ("strong", "vrij", ["own"])
