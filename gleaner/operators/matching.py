@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classes import row_pairs
+
 #: Words that don't tell organisations apart.
 NAME_STOPWORDS = [
     "de", "het", "een", "van", "der", "den", "en", "the", "of", "and", "bv", "nv", "b", "v", "n",
@@ -31,23 +33,27 @@ def tokens_match(a: Column, b: Column) -> Column:
 def similar_names(names: DataFrame, block: list[str]) -> DataFrame:
     """(a, b), a < b: rows of (ord, ``block``, tokens) of one block whose names match as in ``tokens_match``.
 
-    A set-similarity join. The words of a name are put in order of how many names hold them, rarest first. A shorter
-    name that shares enough words with a longer one shares one of its first ``n - least + 1``, so only names that meet in
-    such a word and whose lengths allow it are compared. A block of names without common rare words makes few pairs.
+    Names with the same words in the same order are one class, and classes are compared by a set-similarity join. The words
+    of a name are put in order of how many classes hold them, rarest first. A shorter name that shares enough words with a
+    longer one shares one of its first ``n - least + 1``, so only classes that meet in such a word and whose lengths allow it
+    are compared. Of two of one length either is the shorter one, for rows where it comes first.
     """
     c = F.col
-    sized = names.where(F.size("tokens") > 0).select("ord", *block, "tokens", F.size("tokens").alias("n"))
-    words = sized.select("ord", *block, "n", F.explode("tokens").alias("word"))
-    holders = words.groupBy("word").agg(F.count_distinct("ord").alias("names"))
-    ordered = words.join(holders, "word").withColumn("place", F.row_number().over(Window.partitionBy("ord").orderBy("names", "word")))
+    sized = names.where(F.size("tokens") > 0).select("ord", *block, "tokens")
+    classes = sized.groupBy(*block, "tokens").agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("rows")).withColumn("n", F.size("tokens"))
+    # null blocks meet nothing, as in SQL
+    members = sized.join(classes.select(*block, "tokens", "rep"), [*block, "tokens"]).select("ord", "rep")
+    words = classes.select("rep", *block, "n", F.explode("tokens").alias("word"))
+    holders = words.groupBy("word").agg(F.count_distinct("rep").alias("classes"))
+    ordered = words.join(holders, "word").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("classes", "word")))
     least = F.ceil(c("n") * LEAST_SHARE - 1e-9)
-    first = ordered.where(c("place") <= c("n") - least + 1).select(c("ord").alias("short"), c("n").alias("short_n"), "word", *block).distinct()
-    every = words.select(c("ord").alias("long"), c("n").alias("long_n"), "word", *block).distinct()
-    allowed = (c("short_n") < c("long_n")) | ((c("short_n") == c("long_n")) & (c("short") < c("long")))
-    met = first.join(every, [*block, "word"]).where(allowed).select("short", "long").distinct()
-    tokens = sized.select(c("ord").alias("id"), "tokens")
-    both = met.join(tokens.select(c("id").alias("short"), c("tokens").alias("x")), "short").join(tokens.select(c("id").alias("long"), c("tokens").alias("y")), "long")
-    return both.where(tokens_match(c("x"), c("y"))).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
+    first = ordered.where(c("place") <= c("n") - least + 1).select(c("rep").alias("x"), c("n").alias("short_n"), "word", *block).distinct()
+    every = words.select(c("rep").alias("y"), c("n").alias("long_n"), "word", *block).distinct()
+    met = first.join(every, [*block, "word"]).where((c("short_n") <= c("long_n")) & (c("x") != c("y"))).select("x", "y", (c("short_n") == c("long_n")).alias("in_order")).distinct()
+    tokens = classes.select(c("rep").alias("id"), "tokens")
+    both = met.join(tokens.select(c("id").alias("x"), c("tokens").alias("s")), "x").join(tokens.select(c("id").alias("y"), c("tokens").alias("l")), "y")
+    same = classes.where("rows > 1").select(c("rep").alias("x"), c("rep").alias("y"), F.lit(False).alias("in_order"))
+    return row_pairs(members, both.where(tokens_match(c("s"), c("l"))).select("x", "y", "in_order").unionByName(same))
 
 
 def host_names_publisher(host: Column, tokens: Column) -> Column:

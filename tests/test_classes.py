@@ -1,10 +1,11 @@
 """Rows paired by their classes, against all pairs."""
 
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import classes, dedupe
+from gleaner.operators import classes, dedupe, matching
 
 
 def _plan(df):
@@ -31,3 +32,20 @@ def test_pairs_at_one_place(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want)
     assert {(r.score, tuple(r.signals), r.decision) for r in pairs.collect()} == {(60, ("near",), "possible_duplicate")}
     assert "Aggregate [a#" not in _plan(pairs)
+
+
+def test_names_as_classes(spark):
+    """Names with repeated words, of equal and unequal length and in blocks: the same pairs as comparing all; names of the same words are one class."""
+    dice = random.Random(4)
+    names = [(i, dice.choice(["x", "y", None]), [dice.choice(["red", "bolt", "nut", "ring", "old"]) for _ in range(dice.randint(0, 4))]) for i in range(120)]
+    df = spark.createDataFrame(names, "ord long, block string, tokens array<string>")
+
+    def match(a, b):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        return len(short) > 0 and sum(w in long for w in short) / len(short) >= 0.6
+
+    found = matching.similar_names(df, ["block"])
+    got = [tuple(r) for r in found.collect()]
+    want = {(a[0], b[0]) for a, b in combinations(names, 2) if a[1] is not None and a[1] == b[1] and match(a[2], b[2])}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate [short#" not in _plan(found) and "Aggregate [block#" in _plan(found)
