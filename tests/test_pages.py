@@ -115,3 +115,11 @@ def test_cues_at_once():
     for pattern, cues in ((page_index.SUPPLY, page_index.SUPPLY_CUES), (page_index.OTHERS, [rf"\b{c}" for c in page_index.OTHERS_CUES])):
         one, together = java(pattern), java(page_index._at_once(pattern, cues))
         assert one.pattern != together.pattern and [bool(one.search(t)) for t in texts] == [bool(together.search(t)) for t in texts]
+
+
+def test_cue_is_a_word_and_references_end_early(spark):
+    """A cue of business stands as a word, not inside a token; a reference without its semicolon is read as a browser reads it."""
+    html = "<html><head><title>Sleutel = &quot</title></head><body><h1>Sleutel = &quot</h1><p>token = &quot;fb2b1c&quot; en {} verder</p></body></html>"
+    found = {r.page_id: r for r in page_index.page_statements(dom.nodes(spark.createDataFrame([(1, html.format("niets")), (2, html.format("B2B"))], "page_id long, html string"))).collect()}
+    assert found[1].business_cues == [] and found[2].business_cues == ["b2b"]
+    assert found[1].title == 'Sleutel = "'
